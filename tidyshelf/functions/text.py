@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,37 +14,58 @@ _SPACES = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 _EDGE_SPACES = f"^{_SPACES}+|{_SPACES}+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    The value is bound as a lambda variable. Expressions stay small however often
+    the body uses it: code generation does not overflow, and a filter pushed
+    below the projection does not multiply the work.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim white space of every kind, not just blanks."""
     return F.regexp_replace(c, _EDGE_SPACES, "")
 
 
-def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, f"{_SPACES}+", " ")
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, f"{_SPACES}+", " "))
+
+
+def _tidied(c: Column) -> Column:
+    untidy = c.startswith(" ") | c.endswith(" ") | c.contains("  ") | c.rlike("[^ -~]")
+    return F.when(untidy, _squeezed(c)).otherwise(c)
+
 
+def tidy(c: Column) -> Column:
+    """Squeeze runs of white space to one blank and trim.
+
+    Most cells need nothing. Byte tests for stray blanks and one scan for
+    anything but printable ASCII decide whether a new string is built.
+    """
+    return let(c, _tidied)
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+
+def _untagged(tidied: Column) -> Column:
+    missing = (F.octet_length(tidied) <= 4) & F.lower(tidied).isin(fv.BLANK_WORDS)
+    bare = F.regexp_replace(tidied, "<[^>]+>", " ")
+    return F.when(missing, F.lit("")).when(tidied.contains("<"), _squeezed(bare)).otherwise(tidied)
 
 
 def clean_text(c: Column) -> Column:
     """Blank out missing-value words, turn tags into spaces, squeeze white space.
 
-    Never null: missing is the empty string. The edges are trimmed once at the
-    end, after squeezing, with the fast blank trim; the missing-value test
-    tolerates edge spaces, so no second edge trim is paid for.
+    Never null: missing is the empty string.
     """
-    text = F.coalesce(c, F.lit(""))
-    words = "|".join(fv.BLANK_WORDS)
-    missing = F.lower(text).rlike(f"^{_SPACES}*(?:{words})?{_SPACES}*$")
-    return F.when(missing, F.lit("")).otherwise(
-        F.trim(squeeze(F.regexp_replace(text, "<[^>]+>", " ")))
-    )
+    cell = F.array(F.coalesce(c, F.lit("")))
+    return F.get(F.transform(F.transform(cell, _tidied), _untagged), F.lit(0))
 
 
 def first_filled(*columns: Column) -> Column:
     """First non-blank of several columns, else the empty string."""
-    return F.coalesce(*[blank_to_null(c) for c in columns], F.lit(""))
+    filled = F.filter(F.array(*columns), lambda x: x != "")
+    return F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
 
 
 def key_string(c: Column) -> Column:
@@ -52,7 +75,7 @@ def key_string(c: Column) -> Column:
 
 def compare_string(c: Column) -> Column:
     """Form in which two source values are compared for disagreement."""
-    text = squeeze(F.lower(strip(F.coalesce(c, F.lit("")))))
+    text = tidy(F.lower(F.coalesce(c, F.lit(""))))
     return F.trim(F.regexp_replace(text, r"(?U)[^\w\s.\-]", ""))
 
 
@@ -72,24 +95,27 @@ def field_label(c: Column) -> Column:
     return F.coalesce(F.try_element_at(labels, F.lower(c)), title_label(c))
 
 
-def canonical_brand(c: Column) -> Column:
-    """Cleaned brand in its canonical spelling; unknown brands pass through."""
-    brand = clean_text(c)
+def known_brand(brand: Column) -> Column:
+    """Canonical spelling of a cleaned brand; unknown brands pass through."""
     names = F.create_map(*[F.lit(x) for kv in fv.BRANDS.items() for x in kv])
-    return F.coalesce(F.try_element_at(names, F.lower(brand)), brand)
+    return let(brand, lambda b: F.coalesce(F.try_element_at(names, F.lower(b)), b))
+
+
+def canonical_brand(c: Column) -> Column:
+    return known_brand(clean_text(c))
 
 
 def strip_promo(c: Column) -> Column:
     """Drop ``**...**`` runs."""
-    return strip(F.regexp_replace(c, r"\*{2,}[^*]+\*{2,}", ""))
+    bare = lambda x: strip(F.regexp_replace(x, r"\*{2,}[^*]+\*{2,}", ""))
+    return let(c, lambda x: F.when(x.contains("**"), bare(x)).otherwise(x))
 
 
 def repair_url(c: Column) -> Column:
     """Prefix https:// when a scheme is missing and the text looks like an address."""
-    bare = ~c.startswith("http://") & ~c.startswith("https://")
-    return F.when(
-        (c != "") & bare & c.contains(".") & c.contains("/"), F.concat(F.lit("https://"), c)
-    ).otherwise(c)
+    return let(c, lambda x: F.when(
+        ~x.startswith("http://") & ~x.startswith("https://") & x.contains(".") & x.contains("/"),
+        F.concat(F.lit("https://"), x)).otherwise(x))
 
 
 def synthesize_name(name: Column, description: Column, brand: Column, model: Column,

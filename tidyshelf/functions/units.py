@@ -11,15 +11,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidyshelf import fixed_values as fv
+from tidyshelf.functions import text
 
 _NUM = r"(?i)([0-9.]+)\s*"
 
 
 def float_text(c: Column) -> Column:
     """Double as plain decimal text ("15.0"), never in E notation."""
+    return text.let(c, _float_text)
+
+
+def _float_text(c: Column) -> Column:
     size = F.abs(c)
-    plain = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    digits = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
     return F.when((c == 0) | ((size >= 1e-3) & (size < 1e7)), c.cast("string")).otherwise(plain)
 
 
@@ -28,12 +33,8 @@ def _number(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).try_cast("double")
 
 
-def _with_unit(value: Column, unit: str) -> Column:
-    return F.concat(float_text(value), F.lit(f" {unit}"))
-
-
 # Power readings in order of priority: pattern, conversion, unit.
-_POWER = [
+POWER = [
     (_NUM + r"(?:hp|horse\s*power)", lambda v: F.round(v * fv.KW_PER_HP, 2), "kW"),
     (_NUM + r"(?:w|watts)(?!\w)", lambda v: F.round(v / 1000, 3), "kW"),
     (_NUM + r"(?:mw|megawatts)", lambda v: F.round(v * 1000, 2), "kW"),
@@ -43,7 +44,7 @@ _POWER = [
 ]
 
 # Weights likewise. A bare number is taken as kilograms.
-_WEIGHT = [
+WEIGHT = [
     (_NUM + r"(?:lbs?|pounds?)", lambda v: F.round(v * fv.KG_PER_LB, 1), "kg"),
     (_NUM + r"(?:g|grams?)(?!\w)", lambda v: F.round(v / 1000, 2), "kg"),
     (_NUM + r"(?:kg|kilograms?)", lambda v: v, "kg"),
@@ -51,28 +52,46 @@ _WEIGHT = [
 ]
 
 
-def _first_reading(c: Column, readings, render, otherwise: Column) -> Column:
-    """The first pattern that occurs decides; an unparsable number falls to ``otherwise``."""
-    out = None
-    for pattern, convert, unit in readings:
-        hit = c.rlike(pattern)
-        value = render(convert(_number(c, pattern)), unit)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return F.coalesce(out, otherwise)
+def _reading(c: Column, table, render) -> Column:
+    """``render(c, value, unit)`` of the first pattern that occurs in the text.
+
+    The digits each pattern finds stand in one array ("" where it finds none).
+    The value is null where no pattern occurs or the number does not parse.
+    """
+
+    def pick(found: Column, of_row) -> Column:
+        out = None
+        for i, row in enumerate(table):
+            hit = F.get(found, F.lit(i)) != ""
+            out = F.when(hit, of_row(row)) if out is None else out.when(hit, of_row(row))
+        return out
+
+    def read(cell: Column) -> Column:
+        found = F.array(*[F.regexp_extract(cell, pattern, 1) for pattern, _, _ in table])
+        return text.let(found, lambda f: text.let(
+            F.get(F.filter(f, lambda d: d != ""), F.lit(0)).try_cast("double"),
+            lambda n: render(cell, pick(f, lambda row: row[1](n)),
+                             pick(f, lambda row: F.lit(f" {row[2]}")))))
+
+    return text.let(c, read)
+
+
+def _as_text(cell: Column, value: Column, unit: Column) -> Column:
+    return F.coalesce(F.concat(float_text(value), unit), cell)
 
 
 def power_text(c: Column) -> Column:
     """Power as kW (or kVA) text; "mW" reads as megawatt, as case is ignored."""
-    return _first_reading(c, _POWER, _with_unit, c)
+    return _reading(c, POWER, _as_text)
 
 
 def power_value(c: Column) -> Column:
     """The number behind ``power_text``, null when there is none."""
-    return _first_reading(c, _POWER, lambda v, _unit: v, F.lit(None).cast("double"))
+    return _reading(c, POWER, lambda _cell, value, _unit: value)
 
 
 def weight_text(c: Column) -> Column:
-    return _first_reading(c, _WEIGHT, _with_unit, c)
+    return _reading(c, WEIGHT, _as_text)
 
 
 def voltage_text(c: Column) -> Column:
@@ -82,76 +101,68 @@ def voltage_text(c: Column) -> Column:
     """
     kilo = _NUM + r"(?:kv|kilovolts)"
     plain = r"(?i)([0-9.\-]+)\s*(?:v(?:olts?)?|vac|vdc)"
-    low = F.lower(c)
-    from_kilo = F.concat((_number(c, kilo) * 1000).try_cast("bigint").cast("string"), F.lit(" V"))
-    from_plain = F.concat(
-        F.regexp_extract(c, plain, 1), F.lit(" V"),
-        F.when(low.contains("dc"), F.lit(" DC")).otherwise(F.lit("")),
-        F.when(low.contains("ac"), F.lit(" AC")).otherwise(F.lit("")),
-    )
-    return F.coalesce(F.when(c.rlike(kilo), from_kilo).when(c.rlike(plain), from_plain), c)
+
+    def read(cell: Column) -> Column:
+        low = F.lower(cell)
+        volts = (_number(cell, kilo) * 1000).try_cast("bigint").cast("string")
+        suffix = lambda s: F.when(low.contains(s), F.lit(f" {s.upper()}")).otherwise(F.lit(""))
+        return F.coalesce(
+            F.when(cell.rlike(kilo), F.concat(volts, F.lit(" V")))
+            .when(cell.rlike(plain), F.concat(
+                F.regexp_extract(cell, plain, 1), F.lit(" V"), suffix("dc"), suffix("ac"))), cell)
+
+    return text.let(c, read)
 
 
 def frequency_text(c: Column) -> Column:
-    return (
-        F.when(c.rlike(r"(?i)50[\s/]*60\s*hz"), F.lit("50/60 Hz"))
-        .when(c.rlike(r"(?i)50\s*hz"), F.lit("50 Hz"))
-        .when(c.rlike(r"(?i)60\s*hz"), F.lit("60 Hz"))
-        .when(F.lower(c).isin("dc", "direct current"), F.lit("DC"))
-        .otherwise(c)
-    )
+    return text.let(c, lambda x: F.when(x.rlike(r"(?i)50[\s/]*60\s*hz"), F.lit("50/60 Hz"))
+                    .when(x.rlike(r"(?i)50\s*hz"), F.lit("50 Hz"))
+                    .when(x.rlike(r"(?i)60\s*hz"), F.lit("60 Hz"))
+                    .when(F.lower(x).isin("dc", "direct current"), F.lit("DC"))
+                    .otherwise(x))
 
 
 def rpm_text(c: Column) -> Column:
-    digits = F.regexp_extract(c, "([0-9]+)", 1)
-    return F.when(digits != "", F.concat(digits, F.lit(" RPM"))).otherwise(c)
+    return text.let(c, lambda x: F.coalesce(
+        F.concat(F.nullif(F.regexp_extract(x, "([0-9]+)", 1), F.lit("")), F.lit(" RPM")), x))
 
 
 def dimensions_text(c: Column) -> Column:
     """First three numbers as ``L x W x H mm``; inches and centimetres converted."""
-    parts = F.regexp_extract_all(c, F.lit(r"([0-9.]+)"), 1)
-    raw = [F.get(parts, F.lit(i)) for i in range(3)]
-    low = F.lower(c)
-
-    def joined(pieces):
-        out = pieces[0]
-        for p in pieces[1:]:
-            out = F.concat(out, F.lit(" x "), p)
-        return F.concat(out, F.lit(" mm"))
-
-    def scaled(factor):
-        return joined([
-            F.bround(p.try_cast("double") * factor, 0).try_cast("bigint").cast("string")
-            for p in raw
-        ])
-
-    inches = c.contains('"') | low.contains("inch")
-    return (
-        F.when(F.size(parts) < 3, c)
-        .otherwise(F.coalesce(
-            F.when(inches, scaled(fv.MM_PER_INCH)),
-            F.when(low.contains("cm"), scaled(10.0)),
-            joined(raw),
-        ))
-    )
+
+    def lay_out(cell: Column, parts: Column) -> Column:
+        low = F.lower(cell)
+        factor = F.when(cell.contains('"') | low.contains("inch"), F.lit(fv.MM_PER_INCH)).when(
+            low.contains("cm"), F.lit(10.0))
+        sized = F.transform(parts, lambda p: F.bround(p.try_cast("double") * factor, 0)
+                            .try_cast("bigint").cast("string"))
+        usable = lambda s: F.forall(s, lambda p: p.isNotNull())
+        picked = text.let(sized, lambda s: F.when(usable(s), s).otherwise(parts))
+        return F.concat(F.array_join(picked, " x "), F.lit(" mm"))
+
+    def read(cell: Column) -> Column:
+        found = F.slice(F.regexp_extract_all(cell, F.lit(r"([0-9.]+)"), 1), 1, 3)
+        return text.let(found, lambda p: F.when(F.size(p) < 3, cell).otherwise(lay_out(cell, p)))
+
+    return text.let(c, read)
 
 
 def ip_text(c: Column) -> Column:
-    code = F.regexp_extract(c, r"(?i)ip\s*([0-9]{2}[a-z]?)", 1)
-    return (
-        F.when(code != "", F.concat(F.lit("IP"), F.upper(code)))
-        .when(F.lower(c).contains("ex d"), F.upper(c))
-        .otherwise(c)
-    )
+    code = lambda x: F.nullif(F.regexp_extract(x, r"(?i)ip\s*([0-9]{2}[a-z]?)", 1), F.lit(""))
+    return text.let(c, lambda x: F.coalesce(
+        F.concat(F.lit("IP"), F.upper(code(x))),
+        F.when(F.lower(x).contains("ex d"), F.upper(x)), x))
 
 
 def price_value(c: Column) -> Column:
     """First run of digits, commas dropped, two decimals; a leading minus is kept."""
-    text = F.coalesce(c, F.lit(""))
-    digits = F.replace(F.regexp_extract(text, "([0-9.,]+)", 1), F.lit(","), F.lit(""))
-    value = F.round(F.nullif(digits, F.lit("")).try_cast("double"), 2)
-    negative = text.rlike(r"^\s*[$€£]?\s*-\s*[$€£]?\s*[0-9.,]")
-    return F.when(negative, -value).otherwise(value)
+
+    def read(cell: Column) -> Column:
+        digits = F.replace(F.regexp_extract(cell, "([0-9.,]+)", 1), F.lit(","), F.lit(""))
+        sign = F.when(cell.rlike(r"^\s*[$€£]?\s*-\s*[$€£]?\s*[0-9.,]"), -1.0).otherwise(1.0)
+        return F.round(F.nullif(digits, F.lit("")).try_cast("double") * sign, 2)
+
+    return text.let(F.coalesce(c, F.lit("")), read)
 
 
 def currency_code(price: Column, currency: Column) -> Column:

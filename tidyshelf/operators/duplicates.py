@@ -58,7 +58,7 @@ def blocks(products: DataFrame) -> DataFrame:
     """(block, row_idx), one or two rows per product."""
     keyed = with_keys(products)
     return keyed.select(
-        F.explode(block_keys(F.col("bk"), F.col("ck"), F.col("mk"))).alias("block"), "row_idx")
+        F.explode_outer(block_keys(F.col("bk"), F.col("ck"), F.col("mk"))).alias("block"), "row_idx")
 
 
 def candidate_counts(products: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def _open_nodes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = keyed.groupBy(*KEYS).agg(F.min("row_idx").alias("node"))
     placed = nodes.where((F.col("mk") != "") | (F.col("nm") != "")).select(
         "node", *KEYS,
-        F.explode(block_keys(F.col("bk"), F.col("ck"), F.col("mk"))).alias("block"))
+        F.explode_outer(block_keys(F.col("bk"), F.col("ck"), F.col("mk"))).alias("block"))
     sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = placed.join(sizes, "block").select(
         "block", "node", *KEYS,

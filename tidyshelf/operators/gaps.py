@@ -103,7 +103,7 @@ def reconciliation(products: DataFrame, limit: int | None = None) -> DataFrame:
                        F.lit('"')), units.power_text(F.col("_reading")), 94)))
     out = offers.select(
         F.concat(F.lit("OPP-"), _padded(F.col("row_idx") + 1)).alias("id"), "row_idx",
-        "product_id", "product_name", F.inline(listed)).withColumn(
+        "product_id", "product_name", F.inline_outer(listed)).where("target_field is not null").withColumn(
         "status", F.lit("Ready to Auto-Reconcile"))
     return out if limit is None else out.orderBy("row_idx", "target_field").limit(limit)
 

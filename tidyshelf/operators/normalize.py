@@ -86,18 +86,17 @@ def normalize(df: DataFrame, mapping: dict[str, str] | None = None, row_idx: str
             out.append(quoted(key))
         return out
 
-    def lookup(keys: list[str]) -> Column:
-        cells = [c for k in keys for c in candidates(k)]
-        if not cells:
-            return F.lit("")
-        if len(cells) == 1:
-            return text.clean_text(cells[0])
-        return text.first_filled(*[text.clean_text(c) for c in cells])
-
     def raw_cell(field: str) -> Column:
         found = candidates(field)
         return found[0].cast("string") if found else F.lit(None).cast("string")
 
+    def lookup(keys: list[str]) -> Column:
+        found = list({str(c): c for k in keys for c in candidates(k)}.values())
+        if not found:
+            return F.lit("")
+        cleaned = [text.clean_text(c.cast("string")) for c in found]
+        return cleaned[0] if len(cleaned) == 1 else text.first_filled(*cleaned)
+
     picked = df.select(
         F.col(row_idx).cast("bigint").alias("row_idx"), *keep,
         *[lookup(keys).alias(field) for field, keys in fv.FIELD_KEYS.items()],
@@ -110,23 +109,24 @@ def normalize(df: DataFrame, mapping: dict[str, str] | None = None, row_idx: str
 
 
 def _assemble(picked: DataFrame, keep: list[str], fill_defaults: bool) -> DataFrame:
+    """Each projection names what the next one uses more than once."""
     col = F.col
-    brand = text.canonical_brand(col("brand"))
-    maker = text.canonical_brand(col("manufacturer"))
     stage = picked.select(
-        "*", text.first_filled(brand, maker).alias("_brand"),
-        text.first_filled(maker, brand).alias("_maker"),
+        "*", text.known_brand(col("brand")).alias("_b"),
+        text.known_brand(col("manufacturer")).alias("_m"),
         text.strip_promo(col("description")).alias("_desc"),
-    )
+        units.price_value(col("_price")).alias("price"),
+    ).select("*", text.first_filled(col("_b"), col("_m")).alias("_brand"),
+             text.first_filled(col("_m"), col("_b")).alias("_maker"))
     if fill_defaults:
         stage = stage.withColumn("_name", text.synthesize_name(
             col("product_name"), col("_desc"), col("_brand"), col("model_number"), col("mpn"),
             col("product_id")))
-        desc = F.when(col("_desc") != "", col("_desc")).otherwise(
-            F.concat(col("_name"), F.lit(fv.DESCRIPTION_FROM_NAME)))
-        ident = F.when(col("product_id") != "", col("product_id")).otherwise(
-            F.concat(F.lit("PID-"), (F.lit(10000) + col("row_idx")).cast("string")))
-        default = lambda c, d: F.when(col(c) != "", col(c)).otherwise(F.lit(d))
+        desc = text.first_filled(col("_desc"), F.concat(
+            col("_name"), F.lit(fv.DESCRIPTION_FROM_NAME)))
+        ident = text.first_filled(col("product_id"), F.concat(
+            F.lit("PID-"), (F.lit(10000) + col("row_idx")).cast("string")))
+        default = lambda c, d: text.first_filled(col(c), F.lit(d))
     else:
         stage = stage.withColumn("_name", col("product_name"))
         desc, ident = col("_desc"), col("product_id")
@@ -145,9 +145,8 @@ def _assemble(picked: DataFrame, keep: list[str], fill_defaults: bool) -> DataFr
         "product_url": text.repair_url(col("product_url")),
     }
     return stage.select(
-        "row_idx", *keep, *[final.get(f, col(f)).alias(f) for f in TEXT_FIELDS],
-        units.price_value(col("_price")).alias("price"),
-        units.price_value(col("_price")).cast("decimal(18,2)").alias("price_exact"),
+        "row_idx", *keep, *[final.get(f, col(f)).alias(f) for f in TEXT_FIELDS], "price",
+        col("price").cast("decimal(18,2)").alias("price_exact"),
         "raw_data", "additional_attributes",
     )
 
@@ -155,7 +154,8 @@ def _assemble(picked: DataFrame, keep: list[str], fill_defaults: bool) -> DataFr
 def product_attributes(products: DataFrame) -> DataFrame:
     """Leftover cells in long form, one row per product and attribute."""
     return (
-        products.select("row_idx", F.col("source"), F.explode("additional_attributes"))
+        # The outer form, as the plain one would push a test of the whole map below.
+        products.select("row_idx", F.col("source"), F.explode_outer("additional_attributes"))
         .where(F.trim("value") != "")
         .select("row_idx", F.col("key").alias("attribute_name"), F.col("value").alias("raw_value"),
                 F.col("value").alias("normalized_value"), F.lit("").alias("unit"),

@@ -18,6 +18,9 @@ def local_session(name: str = "tidyshelf", cores: str = "8", **conf) -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
+        # Methods beyond 8000 bytes of byte code are not compiled by the JVM; wide
+        # projections run faster as split code than as one huge method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
