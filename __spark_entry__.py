@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidyshelf import fixed_values as fv
 from tidyshelf.functions import text, units
 from tidyshelf.operators import (conflicts, detail, duplicates, enrich, gaps, grid, mapping,
-                                 reports, score)
+                                 reports, score, validate)
 from tidyshelf.operators.normalize import TEXT_FIELDS, product_attributes
 from tidyshelf.plans import part_catalog as pc
 from tidyshelf.plans import twins as tw
@@ -50,7 +50,7 @@ SELECT category, count(*) AS product_count, round(avg(price), 2) AS avg_price,
   round(avg(quality_score), 1) AS avg_quality
 FROM scored GROUP BY category"""))
 def category_quality(spark, d):
-    return pc.scored(spark, d, with_conflicts=False).groupBy("category").agg(
+    return score.score(validate.validate(pc.fresh(spark, d))).groupBy("category").agg(
         F.count(F.lit(1)).alias("product_count"), F.round(F.avg("price"), 2).alias("avg_price"),
         *[F.count_if(F.col("validation_status") == s).alias(f"{s}_count")
           for s in ("valid", "warning", "invalid")],
@@ -215,7 +215,7 @@ _NORM_FIELDS = ["row_idx", *TEXT_FIELDS, "price"]
 
 @_query("normalized_products", tw.over("norm", f"SELECT {', '.join(_NORM_FIELDS)} FROM norm"))
 def normalized_products(spark, d):
-    return pc.products(spark, d).select(*_NORM_FIELDS)
+    return pc.fresh(spark, d).select(*_NORM_FIELDS)
 
 
 @_query("power_values", tw.over("norm", """
@@ -231,7 +231,7 @@ SELECT currency, count(*) AS product_count, count(price) AS priced,
   cast(sum(cast(price AS decimal(18, 2))) AS double) AS price_sum
 FROM norm GROUP BY currency"""))
 def price_by_currency(spark, d):
-    return pc.products(spark, d).groupBy("currency").agg(
+    return pc.fresh(spark, d).groupBy("currency").agg(
         F.count(F.lit(1)).alias("product_count"), F.count("price").alias("priced"),
         F.sum("price_exact").cast("double").alias("price_sum"))
 
@@ -293,7 +293,7 @@ WHERE trim(raw_value) <> ''"""
 
 @_query("product_attributes", tw.over("norm", _LEFTOVER_SQL))
 def leftover_attributes(spark, d):
-    return product_attributes(pc.products(spark, d)).select(
+    return product_attributes(pc.fresh(spark, d)).select(
         "row_idx", "attribute_name", "raw_value", "source")
 
 
@@ -302,12 +302,12 @@ def leftover_attributes(spark, d):
 @_query("validation_issues", tw.over("issues", """
 SELECT row_idx, product_id, field, issue_type, severity, message, raw_value FROM issues"""))
 def validation_issues(spark, d):
-    return pc.issues(spark, d)
+    return validate.issue_rows(validate.validate(pc.fresh(spark, d)))
 
 
 @_query("row_status", tw.over("plain_scored", "SELECT row_idx, validation_status FROM scored"))
 def row_status(spark, d):
-    return pc.validated(spark, d).select("row_idx", "validation_status")
+    return validate.validate(pc.fresh(spark, d)).select("row_idx", "validation_status")
 
 
 @_query("issue_page", tw.over("issues", """
@@ -612,13 +612,13 @@ _GAPS = {"unilog_brand": f"NOT {tw.is_value('unilog')}", "e1_brand": f"NOT {tw.i
          **{f: f"NOT {tw.is_value(f)}" for f in gaps.TEXT_GAPS}}
 
 
-@_query("data_gaps", tw.over("norm", "WITH counted AS (SELECT count(*) AS total, " + ", ".join(
-    f"count(*) FILTER ({c}) AS g_{f}" for f, c in _GAPS.items()) + " FROM norm) "
-    + " UNION ALL ".join(
+@_query("data_gaps", tw.over("norm", " UNION ALL ".join(
     f"SELECT {i} AS position, {tw.quote(n)} AS field_name, g_{f} AS missing_count, "
     f"round((total - g_{f}) / total * 100, 1) AS coverage_pct, {tw.quote(s)} AS status, "
     f"total AS total_products, {' + '.join('g_' + g for g in _GAPS)} AS total_data_gaps FROM counted"
-    for i, (n, f, s) in enumerate(fv.GAP_ROWS))))
+    for i, (n, f, s) in enumerate(fv.GAP_ROWS)),
+    "counted AS (SELECT count(*) AS total, " + ", ".join(
+        f"count(*) FILTER ({c}) AS g_{f}" for f, c in _GAPS.items()) + " FROM norm)"))
 def data_gaps(spark, d):
     return gaps.data_gaps(pc.products(spark, d), list(pc.COLUMNS))
 
@@ -770,12 +770,10 @@ def page_count(spark, d):
 
 @_query("sorted_orders_page", """
 SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus = 'F'
-ORDER BY o_totalprice DESC, o_orderkey LIMIT 200 OFFSET 100""")
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200""")
 def sorted_orders_page(spark, d):
     hits = grid.where_equal(pc.table(spark, d, "orders"), o_orderstatus="F")
-    return grid.page(hits, 1, 200, "o_totalprice", True, "o_orderkey").select(
-        "o_orderkey", "o_totalprice", "o_orderpriority") if False else hits.orderBy(
-        F.desc("o_totalprice"), "o_orderkey").offset(100).limit(200).select(
+    return grid.page(hits, 3, 100, "o_totalprice", True, "o_orderkey").select(
         "o_orderkey", "o_totalprice", "o_orderpriority")
 
 
@@ -841,7 +839,7 @@ def quality_histogram(spark, d):
 
 @_query("issues_by_field", tw.over("issues", """
 SELECT field AS raw_field, count(*) AS count, CASE field """ + " ".join(
-    f"WHEN {tw.quote(k)} THEN {tw.quote(v)}" for k, v in fv.FIELD_LABELS.items()) + """ END AS field
+    f"WHEN {tw.quote(k)} THEN {tw.quote(v)}" for k, v in fv.FIELD_LABELS.items()) + f""" ELSE {tw.title('field')} END AS field
 FROM issues GROUP BY field"""))
 def issues_by_field(spark, d):
     return reports.issues_by_field(pc.issues(spark, d))
@@ -871,12 +869,13 @@ _STAGES = [("Uploaded", "t"), ("Parsed & Schema", "t"), ("Normalized", "t"),
            ("AI Enriched", "t"), ("Validated", "v"), ("Commerce Ready", "r")]
 
 
-@_query("funnel", tw.over("all", """WITH c AS (SELECT count(*) AS t,
+@_query("funnel", tw.over("all", " UNION ALL ".join(
+    f"SELECT {i} AS position, {tw.quote(n)} AS stage, {e} AS count, "
+    f"round(({e}) / t * 100, 1) AS percentage FROM c" for i, (n, e) in enumerate(_STAGES)),
+    """c AS (SELECT count(*) AS t,
   count(*) FILTER (validation_status = 'valid') AS v, count(*) FILTER (quality_score >= 70) AS r,
   (SELECT count(*) FROM clusters WHERE row_idx <> centre) AS redundant,
-  (SELECT count(*) FROM groups) AS g FROM scored) """ + " UNION ALL ".join(
-    f"SELECT {i} AS position, {tw.quote(n)} AS stage, {e} AS count, "
-    f"round(({e}) / t * 100, 1) AS percentage FROM c" for i, (n, e) in enumerate(_STAGES))))
+  (SELECT count(*) FROM groups) AS g FROM scored)"""))
 def funnel(spark, d):
     return reports.funnel(pc.full(spark, d), pc.model_clusters(spark, d))
 

@@ -1,8 +1,12 @@
-"""Text functions: Column in, Column out, all inside generated code."""
+"""Text functions: Column in, Column out, all native expressions.
 
-from __future__ import annotations
+The bodies are SQL text over one lambda variable ``x``. Binding the input as a
+lambda variable computes it once however often the body uses it, keeps generated
+code small, and keeps a filter that Spark pushes below a projection from
+multiplying the work.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,43 +18,54 @@ _SPACES = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u2
 _EDGE_SPACES = f"^{_SPACES}+|{_SPACES}+$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once.
+# -- SQL text helpers ------------------------------------------------------------
 
-    The value is bound as a lambda variable. Expressions stay small however often
-    the body uses it: code generation does not overflow, and a filter pushed
-    below the projection does not multiply the work.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def quote(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strip(c: Column) -> Column:
-    """Trim white space of every kind, not just blanks."""
-    return F.regexp_replace(c, _EDGE_SPACES, "")
+def bind(value: str, name: str, body: str) -> str:
+    """SQL text: ``body`` with ``name`` standing for the value, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"{_SPACES}+", " "))
+def let(c: Column, body: str) -> Column:
+    """Column of the SQL text ``body`` with ``x`` standing for ``c``."""
+    return F.get(F.call_function("transform", F.array(c), F.expr(f"x -> {body}")), F.lit(0))
 
 
-def _tidied(c: Column) -> Column:
-    untidy = c.startswith(" ") | c.endswith(" ") | c.contains("  ") | c.rlike("[^ -~]")
-    return F.when(untidy, _squeezed(c)).otherwise(c)
+def _listed(words) -> str:
+    return ", ".join(quote(w) for w in words)
 
 
-def tidy(c: Column) -> Column:
-    """Squeeze runs of white space to one blank and trim.
+def _squeezed(x: str) -> str:
+    return f"trim(regexp_replace({x}, r'{_SPACES}+', ' '))"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, r'{_EDGE_SPACES}', '')"
 
-    Most cells need nothing. Byte tests for stray blanks and one scan for
-    anything but printable ASCII decide whether a new string is built.
-    """
-    return let(c, _tidied)
 
+# Most cells need nothing: byte tests for stray blanks and one scan for anything but
+# printable ASCII decide whether a new string is built.
+_TIDY = (f"CASE WHEN startswith(x, ' ') OR endswith(x, ' ') OR contains(x, '  ') "
+         f"OR x RLIKE '[^ -~]' THEN {_squeezed('x')} ELSE x END")
+_UNTAG = (f"CASE WHEN octet_length(t) <= 4 AND lower(t) IN ({_listed(fv.BLANK_WORDS)}) THEN '' "
+          f"WHEN contains(t, '<') THEN " + _squeezed("regexp_replace(t, r'<[^>]+>', ' ')")
+          + " ELSE t END")
 
-def _untagged(tidied: Column) -> Column:
-    missing = (F.octet_length(tidied) <= 4) & F.lower(tidied).isin(fv.BLANK_WORDS)
-    bare = F.regexp_replace(tidied, "<[^>]+>", " ")
-    return F.when(missing, F.lit("")).when(tidied.contains("<"), _squeezed(bare)).otherwise(tidied)
+
+# -- functions --------------------------------------------------------------------
+
+def strip(c: Column) -> Column:
+    """Trim white space of every kind, not just blanks."""
+    return F.regexp_replace(c, _EDGE_SPACES, "")
+
+
+def tidy(c: Column) -> Column:
+    """Squeeze runs of white space to one blank and trim."""
+    return let(c, _TIDY)
 
 
 def clean_text(c: Column) -> Column:
@@ -58,13 +73,12 @@ def clean_text(c: Column) -> Column:
 
     Never null: missing is the empty string.
     """
-    cell = F.array(F.coalesce(c, F.lit("")))
-    return F.get(F.transform(F.transform(cell, _tidied), _untagged), F.lit(0))
+    return let(F.coalesce(c, F.lit("")), bind(_TIDY, "t", _UNTAG))
 
 
 def first_filled(*columns: Column) -> Column:
     """First non-blank of several columns, else the empty string."""
-    filled = F.filter(F.array(*columns), lambda x: x != "")
+    filled = F.call_function("filter", F.array(*columns), F.expr("x -> x <> ''"))
     return F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
 
 
@@ -91,14 +105,17 @@ def title_label(c: Column) -> Column:
 
 def field_label(c: Column) -> Column:
     """Display label of an issue field; the label table is a constant map."""
-    labels = F.create_map(*[F.lit(x) for kv in fv.FIELD_LABELS.items() for x in kv])
-    return F.coalesce(F.try_element_at(labels, F.lower(c)), title_label(c))
+    labels = "map(" + ", ".join(
+        f"{quote(k)}, {quote(v)}" for k, v in fv.FIELD_LABELS.items()) + ")"
+    return F.coalesce(let(c, f"try_element_at({labels}, lower(x))"), title_label(c))
+
+
+_BRAND_MAP = "map(" + ", ".join(f"{quote(k)}, {quote(v)}" for k, v in fv.BRANDS.items()) + ")"
 
 
 def known_brand(brand: Column) -> Column:
     """Canonical spelling of a cleaned brand; unknown brands pass through."""
-    names = F.create_map(*[F.lit(x) for kv in fv.BRANDS.items() for x in kv])
-    return let(brand, lambda b: F.coalesce(F.try_element_at(names, F.lower(b)), b))
+    return let(brand, f"coalesce(try_element_at({_BRAND_MAP}, lower(x)), x)")
 
 
 def canonical_brand(c: Column) -> Column:
@@ -107,15 +124,15 @@ def canonical_brand(c: Column) -> Column:
 
 def strip_promo(c: Column) -> Column:
     """Drop ``**...**`` runs."""
-    bare = lambda x: strip(F.regexp_replace(x, r"\*{2,}[^*]+\*{2,}", ""))
-    return let(c, lambda x: F.when(x.contains("**"), bare(x)).otherwise(x))
+    bare = _stripped(r"regexp_replace(x, r'\*{2,}[^*]+\*{2,}', '')")
+    return let(c, f"CASE WHEN contains(x, '**') THEN {bare} ELSE x END")
 
 
 def repair_url(c: Column) -> Column:
     """Prefix https:// when a scheme is missing and the text looks like an address."""
-    return let(c, lambda x: F.when(
-        ~x.startswith("http://") & ~x.startswith("https://") & x.contains(".") & x.contains("/"),
-        F.concat(F.lit("https://"), x)).otherwise(x))
+    return let(c, "CASE WHEN NOT startswith(x, 'http://') AND NOT startswith(x, 'https://') "
+                  "AND contains(x, '.') AND contains(x, '/') THEN concat('https://', x) "
+                  "ELSE x END")
 
 
 def synthesize_name(name: Column, description: Column, brand: Column, model: Column,

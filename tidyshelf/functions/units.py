@@ -15,83 +15,67 @@ from tidyshelf.functions import text
 
 _NUM = r"(?i)([0-9.]+)\s*"
 
-
-def float_text(c: Column) -> Column:
-    """Double as plain decimal text ("15.0"), never in E notation."""
-    return text.let(c, _float_text)
-
-
-def _float_text(c: Column) -> Column:
-    size = F.abs(c)
-    digits = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", "")
-    plain = F.regexp_replace(digits, r"\.$", ".0")
-    return F.when((c == 0) | ((size >= 1e-3) & (size < 1e7)), c.cast("string")).otherwise(plain)
-
-
-def _number(c: Column, pattern: str) -> Column:
-    """Number captured by the pattern, null when absent or unparsable."""
-    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).try_cast("double")
-
-
-# Power readings in order of priority: pattern, conversion, unit.
+# Power readings in order of priority: pattern, conversion of the number n, unit.
 POWER = [
-    (_NUM + r"(?:hp|horse\s*power)", lambda v: F.round(v * fv.KW_PER_HP, 2), "kW"),
-    (_NUM + r"(?:w|watts)(?!\w)", lambda v: F.round(v / 1000, 3), "kW"),
-    (_NUM + r"(?:mw|megawatts)", lambda v: F.round(v * 1000, 2), "kW"),
-    (_NUM + r"(?:kva)", lambda v: v, "kVA"),
-    (_NUM + r"(?:kw|kilowatts)", lambda v: v, "kW"),
-    (r"^([0-9.]+)$", lambda v: v, "kW"),
+    (_NUM + r"(?:hp|horse\s*power)", f"round(n * {fv.KW_PER_HP}D, 2)", "kW"),
+    (_NUM + r"(?:w|watts)(?!\w)", "round(n / 1000D, 3)", "kW"),
+    (_NUM + r"(?:mw|megawatts)", "round(n * 1000D, 2)", "kW"),
+    (_NUM + r"(?:kva)", "n", "kVA"),
+    (_NUM + r"(?:kw|kilowatts)", "n", "kW"),
+    (r"^([0-9.]+)$", "n", "kW"),
 ]
 
 # Weights likewise. A bare number is taken as kilograms.
 WEIGHT = [
-    (_NUM + r"(?:lbs?|pounds?)", lambda v: F.round(v * fv.KG_PER_LB, 1), "kg"),
-    (_NUM + r"(?:g|grams?)(?!\w)", lambda v: F.round(v / 1000, 2), "kg"),
-    (_NUM + r"(?:kg|kilograms?)", lambda v: v, "kg"),
-    (r"^([0-9.]+)$", lambda v: v, "kg"),
+    (_NUM + r"(?:lbs?|pounds?)", f"round(n * {fv.KG_PER_LB}D, 1)", "kg"),
+    (_NUM + r"(?:g|grams?)(?!\w)", "round(n / 1000D, 2)", "kg"),
+    (_NUM + r"(?:kg|kilograms?)", "n", "kg"),
+    (r"^([0-9.]+)$", "n", "kg"),
 ]
 
 
-def _reading(c: Column, table, render) -> Column:
-    """``render(c, value, unit)`` of the first pattern that occurs in the text.
+def _plain(v: str) -> str:
+    """SQL text: double as decimal text, without E notation."""
+    digits = f"regexp_replace(cast(try_cast({v} AS decimal(38, 10)) AS string), r'0+$', '')"
+    return (f"CASE WHEN {v} = 0 OR (abs({v}) >= 1e-3 AND abs({v}) < 1e7) "
+            f"THEN cast({v} AS string) ELSE regexp_replace({digits}, r'\\.$', '.0') END")
 
-    The digits each pattern finds stand in one array ("" where it finds none).
-    The value is null where no pattern occurs or the number does not parse.
-    """
 
-    def pick(found: Column, of_row) -> Column:
-        out = None
-        for i, row in enumerate(table):
-            hit = F.get(found, F.lit(i)) != ""
-            out = F.when(hit, of_row(row)) if out is None else out.when(hit, of_row(row))
-        return out
+def float_text(c: Column) -> Column:
+    """Double as plain decimal text ("15.0"), never in E notation."""
+    return text.let(c, _plain("x"))
+
 
-    def read(cell: Column) -> Column:
-        found = F.array(*[F.regexp_extract(cell, pattern, 1) for pattern, _, _ in table])
-        return text.let(found, lambda f: text.let(
-            F.get(F.filter(f, lambda d: d != ""), F.lit(0)).try_cast("double"),
-            lambda n: render(cell, pick(f, lambda row: row[1](n)),
-                             pick(f, lambda row: F.lit(f" {row[2]}")))))
+def _reading(table, render: str) -> str:
+    """SQL text: ``render`` over value ``v`` and unit ``u`` of the first pattern that occurs.
 
-    return text.let(c, read)
+    ``f`` holds the digits each pattern finds, "" where it finds none; ``n`` is the
+    number read. The value is null where nothing is found or the number does not parse.
+    """
+    found = "array(" + ", ".join(f"regexp_extract(x, r'{p}', 1)" for p, _, _ in table) + ")"
+    pick = lambda k: "CASE " + " ".join(
+        f"WHEN get(f, {i}) <> '' THEN {k(row)}" for i, row in enumerate(table)) + " END"
+    number = "try_cast(get(filter(f, d -> d <> ''), 0) AS double)"
+    value = text.bind(pick(lambda r: r[1]), "v", render.replace(
+        "{unit}", pick(lambda r: f"' {r[2]}'")))
+    return text.bind(found, "f", text.bind(number, "n", value))
 
 
-def _as_text(cell: Column, value: Column, unit: Column) -> Column:
-    return F.coalesce(F.concat(float_text(value), unit), cell)
+_AS_TEXT = f"coalesce(concat({_plain('v')}, {{unit}}), x)"
 
 
 def power_text(c: Column) -> Column:
     """Power as kW (or kVA) text; "mW" reads as megawatt, as case is ignored."""
-    return _reading(c, POWER, _as_text)
+    return text.let(c, _reading(POWER, _AS_TEXT))
 
 
 def power_value(c: Column) -> Column:
     """The number behind ``power_text``, null when there is none."""
-    return _reading(c, POWER, lambda _cell, value, _unit: value)
+    return text.let(c, _reading(POWER, "v"))
 
 
 def weight_text(c: Column) -> Column:
-    return _reading(c, WEIGHT, _as_text)
+    return text.let(c, _reading(WEIGHT, _AS_TEXT))
 
 
 def voltage_text(c: Column) -> Column:
@@ -101,68 +85,49 @@ def voltage_text(c: Column) -> Column:
     """
     kilo = _NUM + r"(?:kv|kilovolts)"
     plain = r"(?i)([0-9.\-]+)\s*(?:v(?:olts?)?|vac|vdc)"
-
-    def read(cell: Column) -> Column:
-        low = F.lower(cell)
-        volts = (_number(cell, kilo) * 1000).try_cast("bigint").cast("string")
-        suffix = lambda s: F.when(low.contains(s), F.lit(f" {s.upper()}")).otherwise(F.lit(""))
-        return F.coalesce(
-            F.when(cell.rlike(kilo), F.concat(volts, F.lit(" V")))
-            .when(cell.rlike(plain), F.concat(
-                F.regexp_extract(cell, plain, 1), F.lit(" V"), suffix("dc"), suffix("ac"))), cell)
-
-    return text.let(c, read)
+    volts = f"try_cast(try_cast(regexp_extract(x, r'{kilo}', 1) AS double) * 1000 AS bigint)"
+    suffix = lambda s: f"CASE WHEN contains(lower(x), '{s}') THEN ' {s.upper()}' ELSE '' END"
+    return text.let(c, f"""coalesce(
+        CASE WHEN x RLIKE r'{kilo}' THEN concat(cast({volts} AS string), ' V')
+             WHEN x RLIKE r'{plain}' THEN
+               concat(regexp_extract(x, r'{plain}', 1), ' V', {suffix('dc')}, {suffix('ac')})
+        END, x)""")
 
 
 def frequency_text(c: Column) -> Column:
-    return text.let(c, lambda x: F.when(x.rlike(r"(?i)50[\s/]*60\s*hz"), F.lit("50/60 Hz"))
-                    .when(x.rlike(r"(?i)50\s*hz"), F.lit("50 Hz"))
-                    .when(x.rlike(r"(?i)60\s*hz"), F.lit("60 Hz"))
-                    .when(F.lower(x).isin("dc", "direct current"), F.lit("DC"))
-                    .otherwise(x))
+    return text.let(c, r"""CASE WHEN x RLIKE r'(?i)50[\s/]*60\s*hz' THEN '50/60 Hz'
+        WHEN x RLIKE r'(?i)50\s*hz' THEN '50 Hz' WHEN x RLIKE r'(?i)60\s*hz' THEN '60 Hz'
+        WHEN lower(x) IN ('dc', 'direct current') THEN 'DC' ELSE x END""")
 
 
 def rpm_text(c: Column) -> Column:
-    return text.let(c, lambda x: F.coalesce(
-        F.concat(F.nullif(F.regexp_extract(x, "([0-9]+)", 1), F.lit("")), F.lit(" RPM")), x))
+    return text.let(
+        c, "coalesce(concat(nullif(regexp_extract(x, '([0-9]+)', 1), ''), ' RPM'), x)")
 
 
 def dimensions_text(c: Column) -> Column:
     """First three numbers as ``L x W x H mm``; inches and centimetres converted."""
-
-    def lay_out(cell: Column, parts: Column) -> Column:
-        low = F.lower(cell)
-        factor = F.when(cell.contains('"') | low.contains("inch"), F.lit(fv.MM_PER_INCH)).when(
-            low.contains("cm"), F.lit(10.0))
-        sized = F.transform(parts, lambda p: F.bround(p.try_cast("double") * factor, 0)
-                            .try_cast("bigint").cast("string"))
-        usable = lambda s: F.forall(s, lambda p: p.isNotNull())
-        picked = text.let(sized, lambda s: F.when(usable(s), s).otherwise(parts))
-        return F.concat(F.array_join(picked, " x "), F.lit(" mm"))
-
-    def read(cell: Column) -> Column:
-        found = F.slice(F.regexp_extract_all(cell, F.lit(r"([0-9.]+)"), 1), 1, 3)
-        return text.let(found, lambda p: F.when(F.size(p) < 3, cell).otherwise(lay_out(cell, p)))
-
-    return text.let(c, read)
+    factor = (f"CASE WHEN contains(x, '\"') OR contains(lower(x), 'inch') THEN {fv.MM_PER_INCH}D "
+              "WHEN contains(lower(x), 'cm') THEN 10D END")
+    sized = ("transform(p, q -> cast(try_cast(bround(try_cast(q AS double) * k, 0) AS bigint) "
+             "AS string))")
+    chosen = text.bind(sized, "s", "CASE WHEN forall(s, q -> q IS NOT NULL) THEN s ELSE p END")
+    laid_out = f"concat(array_join({text.bind(factor, 'k', chosen)}, ' x '), ' mm')"
+    parts = "slice(regexp_extract_all(x, r'([0-9.]+)', 1), 1, 3)"
+    return text.let(c, text.bind(parts, "p", f"CASE WHEN size(p) < 3 THEN x ELSE {laid_out} END"))
 
 
 def ip_text(c: Column) -> Column:
-    code = lambda x: F.nullif(F.regexp_extract(x, r"(?i)ip\s*([0-9]{2}[a-z]?)", 1), F.lit(""))
-    return text.let(c, lambda x: F.coalesce(
-        F.concat(F.lit("IP"), F.upper(code(x))),
-        F.when(F.lower(x).contains("ex d"), F.upper(x)), x))
+    code = "nullif(regexp_extract(x, r'(?i)ip\\s*([0-9]{2}[a-z]?)', 1), '')"
+    return text.let(c, f"coalesce(concat('IP', upper({code})), "
+                       "CASE WHEN contains(lower(x), 'ex d') THEN upper(x) END, x)")
 
 
 def price_value(c: Column) -> Column:
     """First run of digits, commas dropped, two decimals; a leading minus is kept."""
-
-    def read(cell: Column) -> Column:
-        digits = F.replace(F.regexp_extract(cell, "([0-9.,]+)", 1), F.lit(","), F.lit(""))
-        sign = F.when(cell.rlike(r"^\s*[$€£]?\s*-\s*[$€£]?\s*[0-9.,]"), -1.0).otherwise(1.0)
-        return F.round(F.nullif(digits, F.lit("")).try_cast("double") * sign, 2)
-
-    return text.let(F.coalesce(c, F.lit("")), read)
+    digits = "nullif(replace(regexp_extract(x, r'([0-9.,]+)', 1), ',', ''), '')"
+    sign = r"CASE WHEN x RLIKE r'^\s*[$€£]?\s*-\s*[$€£]?\s*[0-9.,]' THEN -1D ELSE 1D END"
+    return text.let(c, f"round(try_cast({digits} AS double) * {sign}, 2)")
 
 
 def currency_code(price: Column, currency: Column) -> Column:

@@ -30,12 +30,16 @@ def columns_by_field(columns: list[str], mapping: dict[str, str] | None) -> dict
     return out
 
 
+def _cell(column: str) -> str:
+    """SQL text of a raw cell, never null."""
+    name = "`" + column.replace("`", "``") + "`"
+    return f"coalesce(cast({name} AS string), '')"
+
+
 def raw_map(columns: list[str]) -> Column:
     """The whole raw row as a map; built from fixed keys, so no key can repeat."""
-    return F.map_from_arrays(
-        F.array(*[F.lit(c) for c in columns]),
-        F.array(*[F.coalesce(quoted(c).cast("string"), F.lit("")) for c in columns]),
-    )
+    keys = ", ".join(text.quote(c) for c in columns)
+    return F.expr(f"map_from_arrays(array({keys}), array({', '.join(map(_cell, columns))}))")
 
 
 def leftovers(columns: list[str], mapping: dict[str, str] | None) -> Column:
@@ -47,18 +51,20 @@ def leftovers(columns: list[str], mapping: dict[str, str] | None) -> Column:
     entries = []
     taken: dict[str, list[str]] = {}
     for column in columns if mapping is not None else []:
-        value = F.coalesce(quoted(column).cast("string"), F.lit(""))
+        value = _cell(column)
         field = mapping.get(column) or fv.LEFTOVERS
-        free = F.trim(value) != ""
+        free = f"trim({value}) <> ''"
         if field != fv.LEFTOVERS:
             earlier = taken.setdefault(field, [])
-            free = free & (text.first_filled(*[quoted(c) for c in earlier]) != "") if earlier else None
+            settled = " OR ".join(f"{_cell(c)} <> ''" for c in earlier)
+            free = f"{free} AND ({settled})" if earlier else ""
             earlier.append(column)
-        if free is not None:
-            entries.append(F.when(free, F.struct(F.lit(column).alias("k"), value.alias("v"))))
+        if free:
+            entries.append(f"CASE WHEN {free} THEN struct({text.quote(column)} AS k, "
+                           f"{value} AS v) END")
     if not entries:
-        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
+        return F.expr("cast(map() AS map<string, string>)")
+    return F.expr(f"map_from_entries(array_compact(array({', '.join(entries)})))")
 
 
 def normalize(df: DataFrame, mapping: dict[str, str] | None = None, row_idx: str = "row_idx",

@@ -13,46 +13,24 @@ SCORES = ["quality_score", "completeness_score", "validity_score", "consistency_
           "source_agreement_score"]
 
 
-def _sum(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out + p
-    return out
-
-
 def completeness() -> Column:
     """Share of the core fields that are filled; a price of 0 counts as empty."""
-    filled = [
-        F.when(F.coalesce(F.col(f), F.lit(0.0)) != 0 if f == "price" else F.col(f) != "", 1)
-        .otherwise(0) for f in fv.CORE_FIELDS
-    ]
-    return F.round(_sum(filled) / len(fv.CORE_FIELDS), 3)
+    filled = ", ".join("coalesce(price, 0) <> 0" if f == "price" else f"{f} <> ''"
+                       for f in fv.CORE_FIELDS)
+    return F.expr(f"round(size(filter(array({filled}), f -> f)) / {len(fv.CORE_FIELDS)}D, 3)")
 
 
 def validity() -> Column:
-    penalty = F.aggregate(
-        "issues", F.lit(0.0),
-        lambda acc, i: acc + _severity_penalty(i["severity"]),
-    )
-    return F.greatest(F.lit(0.0), F.round(1 - penalty, 3))
-
-
-def _severity_penalty(severity: Column) -> Column:
-    out = None
-    for name, value in fv.SEVERITY_PENALTY.items():
-        out = F.when(severity == name, value) if out is None else out.when(severity == name, value)
-    return out.otherwise(F.lit(0.0))
+    penalty = " ".join(f"WHEN '{s}' THEN {p}D" for s, p in fv.SEVERITY_PENALTY.items())
+    return F.expr(f"greatest(0D, round(1 - aggregate(issues, 0D, (a, i) -> a + "
+                  f"CASE i.severity {penalty} ELSE 0D END), 3))")
 
 
 def consistency() -> Column:
     """Upper-case units expected, as the normalised form writes them."""
-    lapses = _sum([
-        F.when((F.col("power") != "") & ~F.col("power").contains("W")
-               & ~F.col("power").contains("kVA"), 1).otherwise(0),
-        F.when((F.col("voltage") != "") & ~F.col("voltage").contains("V"), 1).otherwise(0),
-        F.when(F.col("brand") == "", 1).otherwise(0),
-    ])
-    return F.round(1 - lapses * 0.2, 3)
+    return F.expr("""round(1 - 0.2D * size(filter(array(
+        power <> '' AND NOT contains(power, 'W') AND NOT contains(power, 'kVA'),
+        voltage <> '' AND NOT contains(voltage, 'V'), brand = ''), f -> f)), 3)""")
 
 
 def score(validated: DataFrame, conflict_rows: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ query can start from the same catalogue.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,69 +118,94 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey AS row_idx", *[f"{rule} AS {name}" for name, rule in COLUMNS.items()])
 
 
-def products(spark: SparkSession, sf_dir: str, fill_defaults: bool = True) -> DataFrame:
+def fresh(spark: SparkSession, sf_dir: str, fill_defaults: bool = True) -> DataFrame:
+    """Products normalised from the scan on."""
     return normalize(raw(spark, sf_dir), MAPPING, fill_defaults=fill_defaults)
 
 
+# -- result tables -----------------------------------------------------------------
+# Reports read stored tables, as they would after a run of the job. Each is written
+# once per session and source folder.
+
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored(build):
+    @functools.wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (build.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _stored:
+            _stored[key] = cut(build(spark, sf_dir))
+        return _stored[key]
+
+    return get
+
+
+@stored
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fresh(spark, sf_dir)
+
+
+@stored
 def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate(products(spark, sf_dir))
 
 
+@stored
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.issue_rows(validated(spark, sf_dir))
 
 
-_built: dict[tuple, DataFrame] = {}
-
-
-def once(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Iterative results are computed once per session and folder and read again from
-    their checkpoint."""
-    key = (kind, spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        _built[key] = cut(build())
-    return _built[key]
+def unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same products with their names left out, so that the model rule decides alone."""
+    return products(spark, sf_dir).withColumn("product_name", F.lit(""))
 
 
+@stored
 def model_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters by the model rule alone: the same products with their names left out."""
-    return once("model", spark, sf_dir, lambda: duplicates.cluster(
-        products(spark, sf_dir).withColumn("product_name", F.lit(""))))
+    """Clusters by the model rule alone."""
+    return duplicates.cluster(unnamed(spark, sf_dir))
 
 
+@stored
 def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters by model and name similarity."""
-    return once("name", spark, sf_dir, lambda: duplicates.cluster(products(spark, sf_dir)))
+    return duplicates.cluster(products(spark, sf_dir))
+
 
+@stored
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_items(unnamed(spark, sf_dir), model_clusters(spark, sf_dir))
 
+
+@stored
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.duplicate_groups(items(spark, sf_dir))
+
+
+@stored
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict_ops.detect_conflicts(
         products(spark, sf_dir), list(COLUMNS), model_clusters(spark, sf_dir))
 
 
+@stored
 def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich(products(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str, with_conflicts: bool = True) -> DataFrame:
-    ids = (conflict_ops.conflict_row_ids(conflicts(spark, sf_dir)) if with_conflicts else None)
-    return score.score(validated(spark, sf_dir), ids)
+@stored
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.score(validated(spark, sf_dir),
+                       conflict_ops.conflict_row_ids(conflicts(spark, sf_dir)))
 
 
+@stored
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored products with the enrichment marks."""
     return enrich.mark_enriched(scored(spark, sf_dir), enrichment(spark, sf_dir))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unnamed = products(spark, sf_dir).withColumn("product_name", F.lit(""))
-    return duplicates.duplicate_items(unnamed, model_clusters(spark, sf_dir))
-
-
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.duplicate_groups(items(spark, sf_dir))
-
-
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User decisions on conflicts, derived from the conflicts themselves: two per row
     in order of time, the later one counts."""

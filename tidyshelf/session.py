@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,9 +51,14 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: ends the lineage and survives the loss of executors."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes the frame to the shared checkpoint folder and reads it back.
+
+    Ends the lineage, survives the loss of executors, and later steps read only
+    the columns they need, with known sizes, from Parquet.
+    """
+    path = f"{use_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, order: str, out: str, start: int = 0,

@@ -21,7 +21,7 @@ def _eta(processed: Column, total: Column, speed: Column) -> Column:
 
 
 def seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1e6)
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
 def progress(events: DataFrame, job: str = "job_id", ts: str = "ts", processed: str = "processed",
