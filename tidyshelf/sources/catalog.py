@@ -49,13 +49,13 @@ def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8",
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless the file has bytes that do not decode; then ISO-8859-1."""
-    broken = spark.read.text(path).where(F.col("value").contains("�"))
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
 def unique_headers(headers: list[str]) -> list[str]:
     """Trimmed headers; of equal ones only the last keeps the plain name."""
-    names = [(h or "").strip().lstrip("﻿") for h in headers]
+    names = [(h or "").strip().lstrip("\ufeff") for h in headers]
     out = []
     for i, name in enumerate(names):
         repeats = names[i + 1:].count(name)
