@@ -6,6 +6,7 @@ the same question as SQL wherever SQL can ask it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from tidyshelf.operators import (conflicts, detail, duplicates, enrich, gaps, gr
 from tidyshelf.operators.normalize import TEXT_FIELDS, product_attributes
 from tidyshelf.plans import part_catalog as pc
 from tidyshelf.plans import twins as tw
+from tidyshelf.session import use_checkpoint_dir
 from tidyshelf.sources import catalog, sinks
 from tidyshelf.streaming import progress
 
@@ -1145,16 +1147,32 @@ def job_log_tail(spark, d):
     return progress.log_tail(_event_feed(spark, d)).select("job_id", "event_id", "event", "line")
 
 
-@_query("windowed_events", """
+_WINDOWED = """
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS event,
   count(*) AS event_count,
   cast(round(sum(cast(value AS decimal(18, 4))), 2) AS double) AS value_sum
-FROM events GROUP BY ALL""")
+FROM events GROUP BY ALL"""
+
+
+@_query("windowed_events", _WINDOWED)
 def windowed_events(spark, d):
     return progress.windowed_counts(_event_feed(spark, d), "event", value="value").drop(
         "window_end")
 
 
+@_query("windowed_events_stream", _WINDOWED)
+def windowed_events_stream(spark, d):
+    """The same windows computed by a stream over the folder, read back from its sink."""
+    schema = pc.table(spark, d, "events").schema
+    feed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = progress.windowed_counts(
+        feed.withColumnRenamed("event_type", "event"), "event", value="value")
+    base = f"{use_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    progress.keep_latest(counts, f"{base}/result", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/result").withColumn(
+        "window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
+
+
 # -- contract -----------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:

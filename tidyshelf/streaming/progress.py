@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StreamingQuery
 
 TERMINAL = ["pipeline_complete", "pipeline_error"]
 MIN_ELAPSED = 0.05
@@ -56,7 +57,9 @@ def windowed_counts(events: DataFrame, key: str, ts: str = "ts", width: str = "1
                     slide: str | None = None, late: str = "10 minutes",
                     value: str | None = None) -> DataFrame:
     """Events per key and time window; the watermark bounds the state of a stream."""
-    marked = events.withWatermark(ts, late) if events.isStreaming else events
+    # A watermark needs a zoned timestamp.
+    marked = (events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+              if events.isStreaming else events)
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     aggs = [F.count(F.lit(1)).alias("event_count")]
     if value:
@@ -65,3 +68,16 @@ def windowed_counts(events: DataFrame, key: str, ts: str = "ts", width: str = "1
     return marked.groupBy(window, key).agg(*aggs).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key,
         *[a for a in ("event_count", "value_sum") if a == "event_count" or value])
+
+
+def keep_latest(frame: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Runs an aggregated stream over what has arrived; ``target`` holds its full result.
+
+    Each trigger replaces the result of the one before, so a replay changes nothing.
+    """
+
+    def replace(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    return (frame.writeStream.outputMode("complete").foreachBatch(replace)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
