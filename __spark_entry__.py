@@ -664,7 +664,7 @@ def reconciliation(spark, d):
 
 @_query("enrichment", tw.over("enrichment", """
 SELECT row_idx, product_id, category, subcategory, brand, model_number, attributes,
-  missing_attributes, normalized_description, keywords, 0.88 AS confidence_score FROM enrichment"""))
+  missing_attributes, normalized_description, keywords, 0.88::double AS confidence_score FROM enrichment"""))
 def enrichment(spark, d):
     return pc.enrichment(spark, d).select(
         "row_idx", "product_id", "category", "subcategory", "brand", "model_number",
@@ -702,7 +702,7 @@ def enrichment_first_rows(spark, d):
 
 
 @_query("enrichment_coverage", tw.over("enrichment", """
-SELECT count(*) AS total_products, count(*) AS enriched_products, 100.0 AS enrichment_coverage_pct,
+SELECT count(*) AS total_products, count(*) AS enriched_products, 100.0::double AS enrichment_coverage_pct,
   cast(sum(attribute_count) AS bigint) AS total_attributes_extracted,
   count(*) * 5 AS total_keywords_generated FROM enrichment"""))
 def enrichment_coverage(spark, d):
@@ -710,7 +710,7 @@ def enrichment_coverage(spark, d):
 
 
 @_query("enrichment_samples", tw.over("enrichment", """
-SELECT row_idx, n.product_name, e.category AS predicted_category, 88.0 AS confidence_score
+SELECT row_idx, n.product_name, e.category AS predicted_category, 88.0::double AS confidence_score
 FROM enrichment e JOIN norm n USING (row_idx) ORDER BY row_idx LIMIT 10"""))
 def enrichment_samples(spark, d):
     return enrich.samples(pc.products(spark, d), pc.enrichment(spark, d)).select(
@@ -718,7 +718,7 @@ def enrichment_samples(spark, d):
 
 
 @_query("enrichment_upsert", tw.over("enrichment", """
-SELECT row_idx, brand, CASE WHEN row_idx % 3 = 0 THEN 0.5 ELSE 0.88 END AS confidence_score
+SELECT row_idx, brand, cast(CASE WHEN row_idx % 3 = 0 THEN 0.5 ELSE 0.88 END AS double) AS confidence_score
 FROM enrichment"""))
 def enrichment_upsert(spark, d):
     old = pc.enrichment(spark, d)
@@ -929,7 +929,7 @@ def job_throughput(spark, d):
 
 
 @_query("job_status", """
-SELECT job_id, status, CASE WHEN status = 'completed' THEN 100.0 ELSE 40.0 END
+SELECT job_id, status, cast(CASE WHEN status = 'completed' THEN 100 ELSE 40 END AS double)
     AS progress_percentage, conflicts, file_size, total_rows,
   CASE WHEN status = 'completed' THEN 'Processing complete' ELSE 'Processing catalog...' END
     AS message FROM (
@@ -1074,7 +1074,7 @@ def enrichment_fallback(spark, d):
 
 
 _EXPORT = {"product_id": "s.product_id", "brand": "e.brand", "category": "e.category",
-           "subcategory": "e.subcategory", "ai_confidence": "88.0",
+           "subcategory": "e.subcategory", "ai_confidence": "88.0::double",
            "description": "e.normalized_description"}
 
 

@@ -240,8 +240,9 @@ clusters AS MATERIALIZED (
   SELECT row_idx, min(row_idx) OVER (PARTITION BY mk) AS centre FROM model_keys WHERE mk <> ''
   QUALIFY count(*) OVER (PARTITION BY mk) > 1),
 items AS MATERIALIZED (
-  SELECT c.row_idx, c.centre, CASE WHEN c.row_idx = c.centre THEN 1.0
-    WHEN m.bk = h.bk OR m.bk = '' OR h.bk = '' THEN 0.95 ELSE 0.85 END AS similarity,
+  SELECT c.row_idx, c.centre, cast(CASE WHEN c.row_idx = c.centre THEN 1.0
+    WHEN m.bk = h.bk OR m.bk = '' OR h.bk = '' THEN 0.95 ELSE 0.85 END AS double)
+      AS similarity,
     n.product_id, n.brand, n.model_number, n.price, n.power, n.voltage, n.source,
     'Power: ' || n.power || ', Voltage: ' || n.voltage || ', Price: '
       || coalesce(cast(n.price AS varchar), 'None') AS specs_summary
@@ -322,19 +323,19 @@ rated AS MATERIALIZED (
   SELECT n.*, CASE WHEN coalesce(h, 0) > 0 THEN 'invalid' WHEN coalesce(m, 0) > 0 THEN 'warning'
       ELSE 'valid' END AS validation_status,
     round(({_CORE}) / 15.0, 3) AS completeness_score,
-    greatest(0.0, round(1 - (0.35 * coalesce(h, 0) + 0.15 * coalesce(m, 0)
-      + 0.05 * coalesce(l, 0)), 3)) AS validity_score,
-    round(1 - 0.2 * ((power <> '' AND NOT contains(power, 'W') AND NOT contains(power, 'kVA'))::int
+    cast(greatest(0.0, round(1 - (0.35 * coalesce(h, 0) + 0.15 * coalesce(m, 0)
+      + 0.05 * coalesce(l, 0)), 3)) AS double) AS validity_score,
+    cast(round(1 - 0.2 * ((power <> '' AND NOT contains(power, 'W') AND NOT contains(power, 'kVA'))::int
       + (voltage <> '' AND NOT contains(voltage, 'V'))::int + (brand = '')::int), 3)
-      AS consistency_score,
-    CASE WHEN {hit} THEN 0.6 ELSE 1.0 END AS source_agreement_score
+      AS double) AS consistency_score,
+    cast(CASE WHEN {hit} THEN 0.6 ELSE 1.0 END AS double) AS source_agreement_score
   FROM norm n LEFT JOIN tallies USING (row_idx)),
 scored AS MATERIALIZED (
   SELECT *, floor((35 * cast(round(completeness_score * 1000) AS bigint)
       + 35 * cast(round(validity_score * 1000) AS bigint)
       + 20 * cast(round(consistency_score * 1000) AS bigint)
       + 10 * cast(round(source_agreement_score * 1000) AS bigint) + 50) / 100.0) / 10
-      AS quality_score, true AS ai_enriched, 0.88 AS ai_confidence FROM rated)"""
+      AS quality_score, true AS ai_enriched, 0.88::double AS ai_confidence FROM rated)"""
 
 
 HIT = ("n.row_idx IN (SELECT row_idx FROM conflicts UNION SELECT other_row_idx FROM conflicts)")
