@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf import fixed_values as fv
 from tidyshelf.functions import text
+from tidyshelf.session import beside
 
 # Everything the enrichment depends on, so equal keys mean equal results.
 INPUTS = ["brand", "model_number", "product_name", "power", "voltage", "category",
@@ -107,8 +108,7 @@ def coverage(products: DataFrame, enrichment: DataFrame) -> DataFrame:
         .alias("total_attributes_extracted"),
         F.coalesce(F.sum(F.size("commerce_keywords")), F.lit(0)).alias("total_keywords_generated"))
     total = products.agg(F.count(F.lit(1)).alias("total_products"))
-    # Both sides are single rows.
-    return total.join(F.broadcast(sizes), F.lit(True)).withColumn(
+    return beside(total, sizes).withColumn(
         "enrichment_coverage_pct",
         text.percent(F.col("enriched_products") / F.greatest("total_products", F.lit(1))))
 

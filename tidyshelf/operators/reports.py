@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf.functions import text
 from tidyshelf.operators import score
+from tidyshelf.session import beside
 
 CONFIDENCE_BANDS = [("conf_90_100", 0.9), ("conf_80_89", 0.8), ("conf_70_79", 0.7),
                     ("conf_below_70", None)]
@@ -82,18 +83,13 @@ def missing_attributes(issues: DataFrame) -> DataFrame:
 
 def kpis(scored: DataFrame, issues: DataFrame, conflicts: DataFrame,
          groups: DataFrame) -> DataFrame:
-    """Headline counts of the catalogue. Each side is a one-row aggregate."""
-    one = F.lit(True)
-    parts = [
+    """Headline counts of the catalogue, one aggregate per table."""
+    return beside(
+        scored.agg(F.count(F.lit(1)).alias("products_processed"), *score.mean_scores()),
         issues.agg(F.count(F.lit(1)).alias("total_validation_issues"),
                    F.count_if(F.col("issue_type") == "missing_value").alias("missing_attributes")),
         conflicts.agg(F.count(F.lit(1)).alias("conflicts_detected")),
-        groups.agg(F.count(F.lit(1)).alias("duplicate_groups")),
-    ]
-    out = scored.agg(F.count(F.lit(1)).alias("products_processed"), *score.mean_scores())
-    for part in parts:
-        out = out.join(F.broadcast(part), one)
-    return out
+        groups.agg(F.count(F.lit(1)).alias("duplicate_groups")))
 
 
 def funnel(scored: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -102,11 +98,11 @@ def funnel(scored: DataFrame, clusters: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("row_idx") != F.col("centre"), 1).otherwise(0)), F.lit(0))
         .alias("redundant"),
         F.count_if(F.col("row_idx") == F.col("centre")).alias("groups"))
-    counted = scored.agg(
+    counted = beside(scored.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("ai_enriched")).alias("enriched"),
         F.count_if(F.col("validation_status") == "valid").alias("valid"),
-        F.count_if(F.col("quality_score") >= 70).alias("ready")).join(F.broadcast(dup), F.lit(True))
+        F.count_if(F.col("quality_score") >= 70).alias("ready")), dup)
     stages = [("Uploaded", "total"), ("Parsed & Schema", "total"), ("Normalized", "total"),
               ("Deduplicated", "total - redundant"), ("Deduplicated (by groups)", "total - groups"),
               ("AI Enriched", "enriched"), ("Validated", "valid"), ("Commerce Ready", "ready")]
@@ -134,11 +130,10 @@ def source_scores(scored: DataFrame) -> DataFrame:
                                 .alias("name")).agg(
         F.count(F.lit(1)).alias("product_count"), F.avg("quality_score").alias("q"),
         F.avg("completeness_score").alias("c"), F.avg("validity_score").alias("v"))
-    total = scored.agg(F.count(F.lit(1)).alias("total"))
-    # The total is one row, so the share needs no window over all sources.
-    return per_source.join(F.broadcast(total), F.lit(True)).select(
-        "name", "product_count",
-        text.percent(F.col("product_count") / F.greatest("total", F.lit(1)))
+    # A scalar subquery, so the share needs no window over all sources.
+    total = scored.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return per_source.select(
+        "name", "product_count", text.percent(F.col("product_count") / total)
         .alias("share_percentage"),
         F.round("q", 1).alias("quality_score"), text.percent(F.col("c")).alias("completeness_score"),
         text.percent(F.col("v")).alias("validity_score"),
@@ -232,10 +227,10 @@ def supplier_conflicts(products: DataFrame, conflicts: DataFrame) -> DataFrame:
     per = conflicts.select("row_idx").join(products.select("row_idx", "supplier"), "row_idx"
                                            ).groupBy("supplier").agg(
         F.count(F.lit(1)).alias("conflict_count"))
-    total = conflicts.agg(F.count(F.lit(1)).alias("total"))
-    return per.join(F.broadcast(total), F.lit(True)).select(
+    total = conflicts.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return per.select(
         "supplier", "conflict_count",
-        text.percent(F.col("conflict_count") / F.greatest("total", F.lit(1))).alias("share_pct"),
+        text.percent(F.col("conflict_count") / total).alias("share_pct"),
     ).orderBy(F.desc("conflict_count"), "supplier")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidyshelf.operators import conflicts as conflict_ops
 from tidyshelf.operators import duplicates, enrich, mapping, score, validate
 from tidyshelf.operators.normalize import normalize, product_attributes
-from tidyshelf.session import cut
+from tidyshelf.session import beside, cut
 from tidyshelf.sources import catalog, sinks
 
 
@@ -88,17 +88,14 @@ def job_stats(spark: SparkSession, root: str, job_id: str) -> DataFrame:
     """Counts and mean quality of a stored job: one row."""
     table = lambda name: catalog.job_scan(sinks.read_table(spark, root, name), job_id)
     count = lambda name, alias: table(name).agg(F.count(F.lit(1)).alias(alias))
-    out = table("products").agg(
-        F.count(F.lit(1)).alias("total_products"),
-        F.count_if("ai_enriched").alias("ai_enriched_count"), *score.mean_scores())
-    parts = [
+    return beside(
+        table("products").agg(
+            F.count(F.lit(1)).alias("total_products"),
+            F.count_if("ai_enriched").alias("ai_enriched_count"), *score.mean_scores()),
         count("duplicate_groups", "duplicate_groups_count"), count("conflicts", "conflicts_count"),
         table("validation_issues").agg(
             F.count(F.lit(1)).alias("validation_issues_count"),
-            F.count_if(F.col("issue_type") == "missing_value").alias("missing_attributes_count"))]
-    for part in parts:
-        out = out.join(F.broadcast(part), F.lit(True))
-    return out
+            F.count_if(F.col("issue_type") == "missing_value").alias("missing_attributes_count")))
 
 
 def _size(spark: SparkSession, path: str) -> int:

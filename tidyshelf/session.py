@@ -80,3 +80,11 @@ def number_rows(df: DataFrame, order: str, out: str, start: int = 0,
         .withColumn(out, (F.row_number().over(within) - 1 + F.col("_start") + start).cast("bigint"))
         .drop("_slice", "_start")
     )
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames of different columns as one row, without a join."""
+    stacked = first
+    for other in others:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
