@@ -56,7 +56,7 @@ CATALOGUES = [
     ({"ProductCode": "PRD-1", "LongDescription": "Duty Motor 20 HP", "ManufacturerName": "B",
       "BrandName": "B", "VoltageRating": "460 V AC", "WeightKg": "142.5"},
      ["product_identifier", "product_description", "manufacturer", "brand", "voltage", "weight"]),
-    ({"MFR": "12.5", "Width": "7", "Feed": "https://a.b/c.pdf", "Colour": "red"},
+    ({"MFR": "12.5", "Width": "7", "Blatt": "https://a.b/c.pdf", "Colour": "red"},
      ["additional_attributes", "product_identifier", "technical_document",
       "additional_attributes"]),
 ]
