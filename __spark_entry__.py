@@ -6,6 +6,7 @@ the same question as SQL wherever SQL can ask it.
 
 from __future__ import annotations
 
+import importlib
 import uuid
 from collections.abc import Callable
 
@@ -1173,6 +1174,20 @@ def windowed_events_stream(spark, d):
         "window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
 
 
+# -- text corpora --------------------------------------------------------------------------------
+
+def _corpus_part(kind: str) -> dict:
+    """What the optional modules for text corpora add; nothing where they are not installed."""
+    added = {}
+    for module in ("tidyshelf.llm.queries", "corpus_pipeline"):
+        try:
+            added |= getattr(importlib.import_module(module), kind)()
+        except ModuleNotFoundError as missing:
+            if missing.name not in ("tidyshelf.llm", "tidyshelf.llm.queries", "corpus_pipeline"):
+                raise
+    return added
+
+
 # -- contract -----------------------------------------------------------------------------------
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1182,9 +1197,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """One entry per operator; each takes (spark, folder of the tables)."""
-    return dict(_QUERIES)
+    return dict(_QUERIES) | _corpus_part("queries")
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB text per query that SQL can express."""
-    return dict(_SQL)
+    return dict(_SQL) | _corpus_part("oracle_sql")
