@@ -1,12 +1,12 @@
 """URL filters: rules kept as a sorted array of 64-bit digests, probed by binary search.
 
-``write_digests`` lays out one file: the sorted XXH64 keys of all rules, the offsets of their texts,
-the texts, and the verdicts. The file reaches the executors through ``SparkContext.addFile``, each
-task maps it into memory, forms the keys a url can match (each parent of its host joined with each
+``digest_file`` lays out one file: the sorted XXH64 keys of all rules, the offsets of their texts,
+the texts, and the verdicts. Its bytes reach the executors as a broadcast; each
+task maps them from an unnamed file, forms the keys a url can match (each parent of its host joined with each
 path length that occurs among the rules), searches all of them at once, and compares the stored text
 of every hit, so that two texts of one digest are told apart.
 
-Rules are a list of at most ``MAX_RULES``; such a file has a bounded size. A rule fits its host and
+Rules are a list of at most ``MAX_RULES`` with ``MAX_BYTES`` in the file. A rule fits its host and
 all subdomains when the url's path starts with the rule's path; the longest rule wins.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; a url
@@ -16,19 +16,17 @@ counts; no rules and an empty table are fine.
 
 from __future__ import annotations
 
-import hashlib
-import os
 import tempfile
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-MAX_RULES = 1_000_000
+#: Bounds of the broadcast.
+MAX_RULES, MAX_BYTES = 1_000_000, 128 << 20
 ALLOW, BLOCK = "allow", "block"
 
 _HOST = r"^.*?://([^/?#]*)"
@@ -57,25 +55,20 @@ def digest_file(rules: Sequence[tuple[str, str, str]]) -> bytes:
     blocked = np.array([verdicts[text][1] == BLOCK for text in texts], "<u8")
     sizes = np.array([verdicts[text][0] for text in texts], "<u8")
     head = np.array([len(texts)], "<u8")
-    return b"".join([*(x.tobytes() for x in (head, keys, ends, blocked, sizes)), *texts])
-
-
-def share(spark: SparkSession, content: bytes) -> str:
-    """Hands the file to all executors; returns its name. The name is the content's digest."""
-    name = f"url-rules-{hashlib.sha256(content).hexdigest()[:24]}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        local = os.path.join(folder, name)
-        with open(local, "wb") as out:
-            out.write(content)
-        spark.sparkContext.addFile(local)
-    return name
+    content = b"".join([*(x.tobytes() for x in (head, keys, ends, blocked, sizes)), *texts])
+    if len(content) > MAX_BYTES:
+        raise ValueError(f"{len(content)} bytes of rules; a digest file holds {MAX_BYTES}")
+    return content
 
 
 class Digests:
     """The mapped file."""
 
-    def __init__(self, file: str):
-        mapped = np.memmap(file, np.uint8, "r")
+    def __init__(self, content: bytes):
+        with tempfile.TemporaryFile() as file:  # the mapping outlives the name
+            file.write(content)
+            file.flush()
+            mapped = np.memmap(file, np.uint8, "r")
         n = int(mapped[:8].view("<u8")[0])
         at = 8
         parts = []
@@ -113,10 +106,10 @@ def parents(name: bytes) -> list[bytes]:
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]],
                default: str = ALLOW) -> DataFrame:
     """Host, path, rule and verdict of every page; only id and url are read."""
-    name = share(pages.sparkSession, digest_file(rules))
+    shared = pages.sparkSession.sparkContext.broadcast(digest_file(rules))
 
     def judge(batches):
-        digests = Digests(SparkFiles.get(name))
+        digests = Digests(shared.value)
         sizes = digests.path_lengths
         for batch in batches:
             hosts, paths = (batch.column(c).to_pylist() for c in ("host", "path"))
