@@ -1,13 +1,13 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted and raw text, plus fixed counts.
 
 Words and pairs of words fall into ``BUCKETS`` by hash. One pass over all documents counts the
-buckets of the raw corpus and of the trusted documents; the two smoothed multinomials give each
-bucket a log ratio; a document's score is the mean ratio of its words and pairs, and the document
+buckets of the raw corpus and of the trusted documents; the trusted multinomial, smoothed by the raw one, over the raw
+one gives each bucket a log ratio; a document's score is the mean ratio of its words and pairs, and the document
 is kept if no fixed rule rejects it and the score reaches ``FLOOR``.
 
 Defined cases: a null, empty or blank text has no words, score 0, and fails the base rule. Repeated
-rows are counted and judged one by one. Without trusted documents both multinomials are the raw one
-with smoothing, so scores stay near 0 and only the base rule rejects. An empty table gives no rows.
+rows are counted and judged one by one. Without trusted documents all ratios are 0 and only the
+base rule rejects. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from tidyshelf.llm import frames
 #: Fixed by design: the model has this many numbers whatever the corpus.
 BUCKETS = 1 << 16
 #: Least mean log ratio of a kept document, in nats a word or pair.
-FLOOR = -0.15
+FLOOR = -0.21
 #: Trusted rows used at most (lowest hashes of their ids); they are broadcast as ids.
 LABELLED = 50_000
-SMOOTHING = 0.5
+#: Raw-corpus pseudo counts of a mean bucket: few trusted rows leave the ratios near 0.
+PRIOR = 2
 
 _BLANK, _SYMBOLS = b"\t\n\x0b\x0c\r ", b"#*$%&|<>"
 _PAIR = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -110,8 +111,9 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     raw[counts["bucket"]], good[counts["bucket"]] = counts["raw"], counts["good"]
     if not good.any():
         return np.zeros(BUCKETS)
-    share = [(x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS) for x in (good, raw)]
-    return np.log(share[0]) - np.log(share[1])
+    whole = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
+    weight = PRIOR * BUCKETS
+    return np.log((good / whole + weight) / (good.sum() + weight))
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, floor: float = FLOOR) -> DataFrame:
