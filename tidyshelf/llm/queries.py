@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidyshelf.llm.frames import table
 from tidyshelf.llm.license_scan import license_scan
+from tidyshelf.llm.packing import pack
 from tidyshelf.llm.quality_rules import quality_rules
 from tidyshelf.llm.url_filters import ALLOW, BLOCK, url_filter
 
@@ -12,6 +13,10 @@ URL_RULES = (
     ("net", "/es/", BLOCK), ("net", "/fr/", BLOCK))
 
 
+def op3_packing(spark, d):
+    return pack(table(spark, d, "documents"))
+
+
 def op4_url_filters(spark, d):
     return url_filter(table(spark, d, "pages"), URL_RULES)
 
@@ -44,7 +49,7 @@ FROM numbered LEFT JOIN fits USING (n)"""
 
 
 def queries():
-    return {f.__name__: f for f in (op4_url_filters, op5_license_scans, op6_quality_rules)}
+    return {f.__name__: f for f in (op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules)}
 
 
 def oracle_sql():
