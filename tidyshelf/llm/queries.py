@@ -6,6 +6,7 @@ from tidyshelf.llm.frames import table
 from tidyshelf.llm.license_scan import license_scan
 from tidyshelf.llm.packing import pack
 from tidyshelf.llm.quality_rules import quality_rules
+from tidyshelf.llm.simhash import near_duplicates
 from tidyshelf.llm.url_filters import ALLOW, BLOCK, url_filter
 
 URL_RULES = (
@@ -29,6 +30,10 @@ def op6_quality_rules(spark, d):
     return quality_rules(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op8_simhash(spark, d):
+    return near_duplicates(table(spark, d, "documents"))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 _URL_SQL = rf"""
@@ -49,7 +54,8 @@ FROM numbered LEFT JOIN fits USING (n)"""
 
 
 def queries():
-    return {f.__name__: f for f in (op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules)}
+    return {f.__name__: f for f in (
+        op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op8_simhash)}
 
 
 def oracle_sql():
