@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidyshelf.llm import decontaminate, secret_scan
 from tidyshelf.llm.frames import table
 from tidyshelf.llm.license_scan import license_scan
 from tidyshelf.llm.packing import pack
 from tidyshelf.llm.quality_rules import quality_rules
 from tidyshelf.llm.simhash import near_duplicates
 from tidyshelf.llm.url_filters import ALLOW, BLOCK, url_filter
+from tidyshelf.session import use_checkpoint_dir
 
 URL_RULES = (
     ("com", "/", ALLOW), ("example.com", "/en/", BLOCK), ("www.example.com", "/en/", ALLOW),
@@ -30,10 +36,29 @@ def op6_quality_rules(spark, d):
     return quality_rules(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def new_ledger(spark) -> str:
+    """An empty ledger in the shared folder; a job that runs again and again keeps its own."""
+    return f"{use_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+
+
+def op7_secret_scans(spark, d):
+    found = secret_scan.scan(table(spark, d, "documents"), new_ledger(spark))
+    base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE_RULES))
+    count = [F.size(F.filter(F.col("spans")["kind"], lambda kind: kind == rule.kind)).cast("long")
+             .alias(f"n_{rule.kind}") for rule in secret_scan.BASE_RULES]
+    return found.select(
+        "doc_id", *count, F.sha2(secret_scan.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
 def op8_simhash(spark, d):
     return near_duplicates(table(spark, d, "documents"))
 
 
+def op9_decontamination(spark, d):
+    return decontaminate.scan(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 _URL_SQL = rf"""
@@ -53,10 +78,65 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM numbered LEFT JOIN fits USING (n)"""
 
 
+_MATCHES_SQL = " UNION ALL ".join(rf"""
+SELECT n, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least,
+  unnest(regexp_extract_all(t, '{rule.pattern.replace("'", "''")}', 0)) AS whole,
+  unnest(regexp_extract_all(t, '{rule.pattern.replace("'", "''")}', {rule.group})) AS part,
+  unnest(string_split_regex(t, '{rule.pattern.replace("'", "''")}')) AS gap,
+  unnest(range(1 + len(string_split_regex(t, '{rule.pattern.replace("'", "''")}')))) AS k
+FROM d""" for rank, rule in enumerate(secret_scan.RULES))
+
+_SECRET_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({_MATCHES_SQL}),
+ends AS (
+  SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY n, rank ORDER BY k) AS "end"
+  FROM matches WHERE whole IS NOT NULL),
+spans AS (
+  SELECT n, kind, rank, "end" - length(whole) AS start,
+    concat(kind, ':', "end" - length(whole), ':', "end") AS span
+  FROM ends WHERE length(part) >= least),
+found AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b,
+    count(*) FILTER (kind = 'hex') AS c,
+    string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+    string_agg(span, ',' ORDER BY start, rank) AS every
+  FROM spans GROUP BY n)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN found USING (n)"""
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_LEAK_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS width
+  FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM b)),
+doc_windows AS (
+  SELECT n, i, width, array_to_string(w[i:i + width - 1], ' ') AS win
+  FROM (SELECT n, w, width, unnest(range(1, len(w) - width + 2)) AS i
+    FROM d, (SELECT DISTINCT width FROM b) WHERE len(w) >= width)),
+hits AS (SELECT n, i, width, item_id FROM doc_windows JOIN item_windows USING (width, win)),
+words AS (SELECT n, count(DISTINCT p) AS n_hit
+  FROM (SELECT n, unnest(range(i, i + width)) AS p FROM hits) GROUP BY n),
+items AS (SELECT n, count(DISTINCT item_id) AS n_items,
+  string_agg(DISTINCT cast(item_id AS varchar), ',' ORDER BY cast(item_id AS varchar)) AS ids
+  FROM hits GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)"""
+
+
 def queries():
     return {f.__name__: f for f in (
-        op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op8_simhash)}
+        op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans,
+        op8_simhash, op9_decontamination)}
 
 
 def oracle_sql():
-    return {"op4_url_filters": _URL_SQL}
+    return {"op4_url_filters": _URL_SQL, "op7_secret_scans": _SECRET_SQL,
+            "op9_decontamination": _LEAK_SQL}
