@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf.llm import decontaminate, secret_scan
 from tidyshelf.llm.frames import table
+from tidyshelf.llm.language_id import predict
 from tidyshelf.llm.license_scan import license_scan
 from tidyshelf.llm.packing import pack
 from tidyshelf.llm.quality_rules import quality_rules
@@ -59,6 +60,10 @@ def op9_decontamination(spark, d):
     return decontaminate.scan(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op10_language_id(spark, d):
+    return predict(table(spark, d, "documents"))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 _URL_SQL = rf"""
@@ -134,7 +139,7 @@ FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)"""
 def queries():
     return {f.__name__: f for f in (
         op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans,
-        op8_simhash, op9_decontamination)}
+        op8_simhash, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql():
