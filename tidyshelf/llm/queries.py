@@ -13,6 +13,7 @@ from tidyshelf.llm.license_scan import license_scan
 from tidyshelf.llm.packing import pack
 from tidyshelf.llm.quality_rules import quality_rules
 from tidyshelf.llm.simhash import near_duplicates
+from tidyshelf.llm.toxicity import toxicity
 from tidyshelf.llm.url_filters import ALLOW, BLOCK, url_filter
 from tidyshelf.session import use_checkpoint_dir
 
@@ -21,6 +22,10 @@ URL_RULES = (
     ("net", "/es/", BLOCK), ("net", "/fr/", BLOCK))
 
 
+def op2_toxicity(spark, d):
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op3_packing(spark, d):
     return pack(table(spark, d, "documents"))
 
@@ -138,7 +143,7 @@ FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)"""
 
 def queries():
     return {f.__name__: f for f in (
-        op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans,
+        op2_toxicity, op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans,
         op8_simhash, op9_decontamination, op10_language_id)}
 
 
