@@ -13,6 +13,7 @@ from tidyshelf.llm.license_scan import license_scan
 from tidyshelf.llm.packing import pack
 from tidyshelf.llm.quality_rules import quality_rules
 from tidyshelf.llm.simhash import near_duplicates
+from tidyshelf.llm.suffix_dedup import repeats
 from tidyshelf.llm.toxicity import toxicity
 from tidyshelf.llm.url_filters import ALLOW, BLOCK, url_filter
 from tidyshelf.session import use_checkpoint_dir
@@ -22,6 +23,13 @@ URL_RULES = (
     ("net", "/es/", BLOCK), ("net", "/fr/", BLOCK))
 
 
+def op1_suffix_dedup(spark, d):
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeats(table(spark, d, "documents")).select(
+        "doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark, d):
     return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -143,7 +151,7 @@ FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)"""
 
 def queries():
     return {f.__name__: f for f in (
-        op2_toxicity, op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans,
+        op1_suffix_dedup, op2_toxicity, op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans,
         op8_simhash, op9_decontamination, op10_language_id)}
 
 

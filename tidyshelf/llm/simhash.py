@@ -272,8 +272,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = BITS,
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, bits: int = BITS,
                shard: int = SHARD) -> DataFrame:
-    """One document of each group: the one whose id is the group's. Rows without an id stay."""
+    """One document of each group: the one whose id is the group's, once if its row is repeated. Rows
+    without an id can't be named and stay."""
     kept = near_duplicates(docs, width, bits, shard).where("doc_id = component_id").select(
         F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").unionByName(
-        docs.where("doc_id IS NULL"))
+    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(
+        ["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
