@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm import intervals
+from tidyshelf.llm import frames, intervals
 
 WORDS = 10
 #: Most item windows that are broadcast; about 200 bytes each.
@@ -109,22 +109,24 @@ def clean(docs: DataFrame, items: DataFrame, n: int = WORDS, drop_share: float =
     """The documents without benchmark passages, with the columns they came with; ``n_chars``, where
     there is one, is counted again for a text that changed."""
     found = hits(docs.select("doc_id", "text"), items.select("item_id", "text"), n, broadcast).select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"),
-        intervals.merged(F.col("spans")).alias("_hit"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id"))
-                       & (F.xxhash64(docs["text"]) == F.col("_digest")), "left")
-    clean_rows = joined.where("_hit IS NULL").select(*docs.columns)
-    split = joined.where("_hit IS NOT NULL").withColumn(
-        "_words", F.array_remove(F.split("text", BETWEEN), "")).withColumn(
-        "_between", F.split("text", WORD)).withColumn(
-        "_hits", F.aggregate("_hit", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]))
-    pieces = split.where(F.col("_hits") <= drop_share * F.size("_words")).withColumn(
-        "_pieces", F.zip_with("_words", F.slice("_between", 2, F.size("_words")), lambda a, b: F.concat(a, b)))
-    rest = F.concat(F.get("_between", F.lit(0)), F.array_join(F.transform(
-        intervals.gaps(F.col("_hit"), F.size("_words")),
-        lambda g: F.array_join(F.slice("_pieces", (g["start"] + 1).cast("int"),
+        F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"),
+        intervals.merged(F.col("spans")).alias("hit"))
+    # whole rows travel as one value, so columns of any name may come along
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"),
+                       F.xxhash64("text").alias("digest"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("hit_id"))
+                       & (F.col("digest") == F.col("hit_digest")), "left")
+    text = F.col("row")["text"]
+    split = joined.where("hit IS NOT NULL").withColumn(
+        "words", F.array_remove(F.split(text, BETWEEN), "")).withColumn(
+        "between", F.split(text, WORD)).withColumn(
+        "hits", F.aggregate("hit", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]))
+    pieces = split.where(F.col("hits") <= drop_share * F.size("words")).withColumn(
+        "pieces", F.zip_with("words", F.slice("between", 2, F.size("words")), lambda a, b: F.concat(a, b)))
+    rest = F.concat(F.get("between", F.lit(0)), F.array_join(F.transform(
+        intervals.gaps(F.col("hit"), F.size("words")),
+        lambda g: F.array_join(F.slice("pieces", (g["start"] + 1).cast("int"),
                                        (g["end"] - g["start"]).cast("int")), "")), ""))
-    changed = pieces.withColumn("text", rest)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean_rows.unionByName(changed.select(*docs.columns))
+    changed = pieces.withColumn("rest", rest)
+    return joined.where("hit IS NULL").select("row.*").unionByName(
+        changed.select(*frames.with_text(docs, F.col("row"), F.col("rest"))))

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once. A longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -62,3 +63,13 @@ def held_out(ids: pa.Array) -> np.ndarray:
     """True where crc32 of the id as text has remainder 2 modulo 4; a null id is the empty text."""
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2
                         for i in ids.to_pylist()), bool, len(ids))
+
+
+def with_text(docs: DataFrame, row: Column, text: Column, changed: Column | None = None) -> list[Column]:
+    """The columns of ``docs`` out of the struct ``row``, with a new text where ``changed`` (always, if
+    not given); ``n_chars``, where there is one, is counted again for it."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return [(row[c] if c not in new else new[c] if changed is None
+             else F.when(changed, new[c]).otherwise(row[c])).alias(c) for c in docs.columns]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidyshelf.llm import intervals
+from tidyshelf.llm import frames, intervals
 
 
 @dataclass(frozen=True)
@@ -148,14 +148,15 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     where there is one, is counted again for a text that changed."""
     update(docs.select("text"), ledger, rules)
     found = findings(docs.sparkSession, ledger, rules).select(
-        F.col("blob").alias("_blob"), intervals.merged(F.transform("spans", lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end")))).alias("_spans"))
-    joined = docs.join(found, blob_of(docs["text"]) == F.col("_blob"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(
-        intervals.gaps(F.col("_spans"), F.length("text")),
-        lambda g: F.substring(F.col("text"), (g["start"] + 1).cast("int"),
-                              (g["end"] - g["start"]).cast("int"))), mark))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(
-            F.length(text)).cast(docs.schema["n_chars"].dataType))
-    return joined.withColumn("text", text).select(*docs.columns)
+        F.col("blob").alias("found_blob"), intervals.merged(F.transform("spans", lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end")))).alias("found"))
+    # whole rows travel as one value, so columns of any name may come along
+    joined = docs.select(F.struct(*docs.columns).alias("row"), blob_of(F.col("text")).alias("blob")).join(
+        found, F.col("blob") == F.col("found_blob"), "left")
+    text = F.col("row")["text"]
+    masked = F.array_join(F.transform(
+        intervals.gaps(F.col("found"), F.length(text)),
+        lambda g: F.substring(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))),
+        mark)
+    changed = F.col("found").isNotNull()
+    return joined.select(*frames.with_text(docs, F.col("row"), masked, changed))

@@ -275,6 +275,9 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, bits: int = BITS,
     """One document of each group: the one whose id is the group's, once if its row is repeated. Rows
     without an id can't be named and stay."""
     kept = near_duplicates(docs, width, bits, shard).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(
-        ["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+        F.col("doc_id").alias("kept")).distinct()
+    # whole rows travel as one value, so columns of any name may come along
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.col("text").alias("text"))
+    return rows.join(kept, F.col("id") == F.col("kept"), "left_semi").dropDuplicates(
+        ["id", "text"]).unionByName(rows.where("id IS NULL")).select("row.*")
