@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tests.check_twins import compare, connect
 from tidyshelf import fixed_values as fv
-from tidyshelf.operators import grid
+from tidyshelf.operators import duplicates, grid
 from tidyshelf.plans import pipeline
 from tidyshelf.sources import catalog, sinks
 from tidyshelf.sources.generate import COLUMNS, generate_catalog
@@ -28,6 +28,33 @@ def test_read_catalog(spark, tmp_path):
     assert catalog.read_catalog(spark, str(latin)).first()["Ort"] == "Köln"
 
 
+def test_headers_by_position(spark, tmp_path):
+    path = tmp_path / "headers.csv"
+    path.write_text("Id,Name,Id,,Price__dup_rate,NAME\n1,a,2,x,3,A\n4,b,5,y,6,B\n")
+    df = catalog.read_catalog(spark, str(path))
+    assert df.columns == ["Name_1", "Id", "Price__dup_rate", "NAME", "row_idx"]
+    assert [tuple(r) for r in df.orderBy("row_idx").collect()] == [
+        ("a", "2", "3", "A", 0), ("b", "5", "6", "B", 1)]
+    empty = tmp_path / "empty.csv"
+    empty.write_text("")
+    assert catalog.read_catalog(spark, str(empty)).count() == 0
+
+
+def test_delimiter_is_judged_on_all_lines(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a,b;c,d\n" + "1,2;3,4\n" * 100 + "1;2\n" * 900)
+    assert catalog.read_catalog(spark, str(path)).columns == ["a,b", "c,d", "row_idx"]
+    folder = tmp_path / "several"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("\n a, b\n3,4\n")
+    rows = catalog.read_catalog(spark, str(folder)).orderBy("row_idx").collect()
+    assert [tuple(r) for r in rows] == [("1", "2", 0), ("3", "4", 1)]
+    (folder / "3.csv").write_text("b;a\n5;6\n")
+    with pytest.raises(ValueError):
+        catalog.read_catalog(spark, str(folder))
+
+
 def test_row_numbers_follow_the_files(spark, tmp_path):
     spark.range(5000).repartitionByRange(7, "id").write.parquet(str(tmp_path / "t"))
     df = catalog.with_row_idx(spark.read.parquet(str(tmp_path / "t")))
@@ -60,13 +87,17 @@ def test_job_end_to_end(spark, tmp_path):
 
 def test_feed_stream(spark, tmp_path):
     source = str(tmp_path / "in")
-    generate_catalog(spark, 40).select(COLUMNS).write.option("header", True).csv(source)
+    rows = generate_catalog(spark, 40).select(COLUMNS)
+    # each line twice in its file: equal lines are rows of their own
+    rows.union(rows).coalesce(1).write.option("header", True).csv(source)
     for _ in range(2):
         raw = feed.read_feed(spark, source, COLUMNS)
-        feed.start_feed(feed.clean_feed(raw), str(tmp_path / "out"),
-                        str(tmp_path / "check")).awaitTermination(120)
+        feed.start_feed(raw, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     landed = spark.read.parquet(str(tmp_path / "out"))
-    assert landed.count() == 40 and landed.where("quality_score is null").count() == 0
+    assert landed.count() == 80 and landed.where("quality_score is null").count() == 0
+    assert sorted(r["row_idx"] for r in landed.select("row_idx").collect()) == list(range(80))
+    grouped = duplicates.duplicate_items(landed, duplicates.cluster(landed))
+    assert grouped.select("row_idx").distinct().count() == 80
 
 
 def test_windowed_stream_equals_batch(spark, tmp_path):

@@ -17,7 +17,7 @@ from tidyshelf.sources import catalog, sinks
 
 @dataclass
 class Result:
-    """The frames of one run; all lazy except the clusters."""
+    """The frames of one run; those that several results need are stored."""
 
     products: DataFrame
     issues: DataFrame
@@ -42,11 +42,11 @@ def run(raw: DataFrame, schema_mapping: dict[str, str] | None = None,
     clean = cut(normalize(raw, schema_mapping))
     clusters = cut(duplicates.cluster(clean, threshold))
     enrichment = enrich.enrich(clean, enrich_limit)
-    checked = validate.validate(clean)
+    checked = cut(validate.validate(clean))
     found = cut(conflict_ops.detect_conflicts(clean, columns, clusters, pairs))
     scored = score.score(checked, conflict_ops.conflict_row_ids(found))
     products = enrich.mark_enriched(scored, enrichment)
-    items = duplicates.duplicate_items(clean, clusters)
+    items = cut(duplicates.duplicate_items(clean, clusters))
     return Result(
         products=products, issues=validate.issue_rows(checked), clusters=clusters,
         groups=duplicates.duplicate_groups(items), items=items, conflicts=found,
@@ -72,7 +72,7 @@ def process_file(spark: SparkSession, path: str, root: str, job_id: str,
     """
     started = time.time()
     raw = cut(catalog.read_catalog(spark, path))
-    mapping_used = schema_mapping or mapping.mapping_of(mapping.analyze(raw))
+    mapping_used = schema_mapping or mapping.mapping_of(mapping.analyze(raw, sample_rows=None))
     save(run(raw, mapping_used, **options), root, job_id)
     stats = job_stats(spark, root, job_id).first().asDict()
     seconds = round(time.time() - started, 2)

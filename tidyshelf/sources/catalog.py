@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,34 +18,48 @@ _FORMAT_BY_EXTENSION = {
 }
 
 
-def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8",
-                     sample_lines: int = 50) -> str:
-    """Separator of a delimited file, judged on its first lines.
+def detect_layout(spark: SparkSession, path: str, encoding: str = "UTF-8",
+                  sep: str | None = None) -> tuple[str, list[str]]:
+    """Separator and headers of delimited files, judged on all lines of each.
 
-    Preferred is the candidate that occurs equally often in every sampled line;
-    failing that the most frequent one, and the comma when none occurs. Quoted
-    parts are taken out before counting.
+    Preferred is the candidate that occurs in the header line and equally often in the
+    most lines; failing that the most frequent one, and the comma when none occurs. Quoted parts
+    are taken out before counting. Files that disagree are an error.
     """
-    lines = (
-        spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
-        .limit(sample_lines)
-        .where(F.trim("value") != "")
-        .select(F.regexp_replace("value", '"[^"]*"', "").alias("line"))
-    )
-    # One row comes back, whatever the size of the file.
-    counts = lines.agg(*[
-        f(F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias(f"{n}{i}")
-        for i, d in enumerate(_DELIMITERS)
-        for n, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))
-    ]).first()
-    best = max(
-        range(len(_DELIMITERS)),
-        key=lambda i: (
-            (counts[f"lo{i}"] or 0) > 0 and counts[f"lo{i}"] == counts[f"hi{i}"],
-            counts[f"sum{i}"] or 0, -i,
-        ),
-    )
-    return _DELIMITERS[best] if counts[f"sum{best}"] else ","
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    counts = [f"n{i}" for i in range(len(_DELIMITERS))]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("id")).alias("at"),
+    ).where(F.trim("value") != "")
+    # Lines with equal counts are one row before anything is shuffled.
+    shapes = lines.select("file", "at", "value", *[
+        (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias(n)
+        for n, d in zip(counts, _DELIMITERS)
+    ]).groupBy("file", *counts).agg(
+        F.count(F.lit(1)).alias("lines"), F.min(F.struct("at", "value")).alias("first"))
+    headed = shapes.withColumn("head", F.min(F.struct("first", *counts)).over(W.partitionBy("file")))
+    agreeing = lambda n: F.sum(F.when(
+        (F.col(n) > 0) & (F.col(n) == F.col("head")[n]), F.col("lines")).otherwise(F.lit(0)))
+    layouts = headed.groupBy("file").agg(
+        F.first("head.first.value").cast("binary").alias("header"),
+        *[F.struct(F.when(F.max(f"head.{n}") > 0, agreeing(n)).otherwise(F.lit(0)),
+                   F.sum(F.col(n) * F.col("lines")), F.lit(-i)).alias(f"s{i}")
+          for i, n in enumerate(counts)]
+    ).select("header", (-F.greatest(*[f"s{i}" for i in range(len(counts))])["col3"]).alias("best"))
+    # Different headers are refused below, so few rows tell.
+    found = {
+        (sep or _DELIMITERS[row["best"]], row["header"].decode(encoding))
+        for row in layouts.distinct().limit(1000).collect()
+    }
+    parsed = {
+        (mark, tuple(h.strip() for h in next(csv.reader([line.lstrip("\ufeff")], delimiter=mark))))
+        for mark, line in found
+    }
+    if len(parsed) > 1:
+        raise ValueError(f"files of different layout in {path}")
+    return (parsed.pop() if parsed else (sep or ",", ()))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -53,30 +68,42 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
-def unique_headers(headers: list[str]) -> list[str]:
-    """Trimmed headers; of equal ones only the last keeps the plain name."""
+def unique_headers(headers: list[str]) -> list[str | None]:
+    """Trimmed headers by position; None for those without a name and for all but the last of equal
+    ones. Of names that differ in case only, which Spark cannot tell apart, the earlier get a number.
+    """
     names = [(h or "").strip().lstrip("\ufeff") for h in headers]
-    out = []
-    for i, name in enumerate(names):
-        repeats = names[i + 1:].count(name)
-        out.append(f"{name}__dup{repeats}" if repeats or not name else name)
+    out: list[str | None] = [
+        name if name and name not in names[i + 1:] else None for i, name in enumerate(names)]
+    taken = {name.lower() for name in out if name}
+    seen = set()
+    for i in range(len(out) - 1, -1, -1):
+        name = out[i]
+        if name and name.lower() in seen:
+            number = 1
+            while f"{name}_{number}".lower() in taken:
+                number += 1
+            out[i] = f"{name}_{number}"
+            taken.add(out[i].lower())
+        elif name:
+            seen.add(name.lower())
     return out
 
 
-def clean_cells(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def clean_cells(df: DataFrame, keep: list[str] | None = None,
+                headers: list[str] | None = None) -> DataFrame:
     """All columns as trimmed text under trimmed headers, missing as ``""``.
 
-    Columns named in ``keep`` pass through as they are.
-
-    Columns shadowed by a later one of the same name, and those without a
+    Columns named in ``keep`` pass through as they are. ``headers`` are the names by position, if
+    not those of the frame. Columns shadowed by a later one of the same name, and those without a
     header, are dropped.
     """
-    names = unique_headers(df.columns)
+    names = unique_headers(headers or df.columns)
     stage = df.toDF(*[f"c{i}" for i in range(len(names))])
     return stage.select(*[
         F.col(f"c{i}").alias(name) if name in (keep or [])
         else text.strip(F.coalesce(F.col(f"c{i}").cast("string"), F.lit(""))).alias(name)
-        for i, name in enumerate(names) if "__dup" not in name
+        for i, name in enumerate(names) if name
     ])
 
 
@@ -96,7 +123,11 @@ def with_row_idx(df: DataFrame, out: str = "row_idx") -> DataFrame:
     count of the splits before it (by path and position in the file). Only one
     row per split takes part in the running sum, and no row goes through Python.
     """
-    placed = _with_scan_position(df)
+    return number_splits(_with_scan_position(df), out)
+
+
+def number_splits(placed: DataFrame, out: str) -> DataFrame:
+    """Dense numbers by file (``_path``), split (``_at``) and place in the split (``_id``)."""
     splits = placed.groupBy("_path", "_at").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = W.orderBy("_path", "_at").rowsBetween(W.unboundedPreceding, -1)
@@ -114,23 +145,30 @@ def read_catalog(spark: SparkSession, path: str, fmt: str | None = None, sep: st
     """Messy catalogue as text columns plus ``row_idx``.
 
     ``fmt`` defaults to the extension (csv, tsv, txt, json, parquet; csv when
-    unknown). Short CSV rows are padded and extra cells cut. ``multi_line`` is
-    needed only for quoted line breaks; it makes each file a single split.
+    unknown). Short CSV rows are padded and extra cells cut; all files of a folder must have
+    the same header line. ``multi_line`` is needed only for quoted line breaks in cells; it
+    makes each file a single split.
     """
     fmt = fmt or _FORMAT_BY_EXTENSION.get(os.path.splitext(path.rstrip("/"))[1].lower(), "csv")
+    headers = None
     if fmt == "csv":
         encoding = encoding or detect_encoding(spark, path)
-        sep = sep or detect_delimiter(spark, path, encoding)
+        sep, headers = detect_layout(spark, path, encoding, sep)
+        if not headers:
+            return spark.createDataFrame([], "row_idx bigint")
+        # Columns are read by position: Spark would rename repeated and blank headers.
         raw = (
-            spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
+            spark.read.schema(", ".join(f"c{i} string" for i in range(len(headers))))
+            .option("header", True).option("sep", sep)
             .option("encoding", encoding).option("mode", "PERMISSIVE").option("escape", '"')
             .option("multiLine", multi_line).csv(path)
         )
+        headers = [*headers, "_row_idx"]
     elif fmt in ("json", "parquet"):
         raw = spark.read.format(fmt).load(path)
     else:
         raise ValueError(f"unsupported format: {fmt}")
-    return clean_cells(with_row_idx(raw, "_row_idx"), keep=["_row_idx"]).withColumnRenamed(
+    return clean_cells(with_row_idx(raw, "_row_idx"), ["_row_idx"], headers).withColumnRenamed(
         "_row_idx", "row_idx")
 
 
