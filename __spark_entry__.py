@@ -19,6 +19,7 @@ from tidyshelf.operators import (conflicts, detail, duplicates, enrich, gaps, gr
                                  reports, score, validate)
 from tidyshelf.operators.normalize import TEXT_FIELDS, product_attributes
 from tidyshelf.plans import part_catalog as pc
+from tidyshelf.plans import pipeline
 from tidyshelf.plans import twins as tw
 from tidyshelf.session import use_checkpoint_dir
 from tidyshelf.sources import catalog, sinks
@@ -83,6 +84,39 @@ def scan_clean_cells(spark, d):
     return catalog.clean_cells(raw, keep=["row_idx"])
 
 
+def _fresh_folder(spark, kind: str) -> str:
+    return f"{use_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@_query("csv_roundtrip", """
+SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row_idx, cast(s_suppkey AS varchar) AS s_suppkey,
+  trim(s_name) AS s_name, cast(s_nationkey AS varchar) AS s_nationkey,
+  'He said "yes, ' || trim(s_name) || '"; no' AS remark, s_acctbal
+FROM supplier""")
+def csv_roundtrip(spark, d):
+    """The table as delimited text with quotes and separators in its cells, read as a catalogue."""
+    path = _fresh_folder(spark, "csv")
+    suppliers = pc.table(spark, d, "supplier").orderBy("s_suppkey").select(
+        "s_suppkey", "s_name", "s_nationkey",
+        F.concat(F.lit('He said "yes, '), F.trim("s_name"), F.lit('"; no')).alias("remark"), "s_acctbal")
+    sinks.write_csv(suppliers, path)
+    return catalog.read_catalog(spark, path, "csv").withColumn(
+        "s_acctbal", F.col("s_acctbal").cast("double"))
+
+
+@_query("table_roundtrip", """
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority AS job_id FROM orders""")
+def table_roundtrip(spark, d):
+    """Rows written as a result table by job, one job of them written twice, and read back."""
+    root = _fresh_folder(spark, "tables")
+    orders = pc.table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderpriority").alias("job_id"))
+    sinks.write_table(orders, root, "orders")
+    urgent = orders.where("job_id = '1-URGENT'").drop("job_id")
+    sinks.write_table(urgent, root, "orders", "1-URGENT")
+    return sinks.read_table(spark, root, "orders")
+
+
 @_query("job_scoped_scan", """
 SELECT o_orderpriority AS job_id, count(*) AS row_count FROM orders
 WHERE o_orderpriority = '2-HIGH' GROUP BY 1""")
@@ -1086,13 +1120,25 @@ def catalog_export(spark, d):
     return sinks.catalog_export(pc.scored(spark, d), pc.enrichment(spark, d))
 
 
+@_query("whole_job")
+def whole_job(spark, d):
+    """The job itself over the whole catalogue, names kept: per row its score, cluster and conflicts."""
+    done = pipeline.run(pc.raw(spark, d), pc.MAPPING)
+    conflicts_ = done.conflicts.groupBy("row_idx").agg(F.count(F.lit(1)).alias("conflict_count"))
+    return done.products.select(
+        "row_idx", "product_name", "validation_status", "quality_score", "ai_enriched").join(
+        done.items.select("row_idx", "centre", "similarity"), "row_idx", "left").join(
+        conflicts_, "row_idx", "left").fillna({"conflict_count": 0})
+
+
 @_query("conflict_export", tw.over("conflicts", """
 SELECT cast(row_idx AS varchar) || '/' || field AS "Conflict ID", product_name AS "Product Name",
   model_number AS "Model Number", field AS "Field", source_a AS "Source A", value_a AS "Value A",
   source_b AS "Source B", value_b AS "Value B", severity AS "Severity",
-  explanation AS "AI Explanation", 'pending' AS "Status" FROM conflicts"""))
+  explanation AS "AI Explanation", 'pending' AS "Status",
+  cast(NULL AS varchar) AS "Resolution Notes" FROM conflicts"""))
 def conflict_export(spark, d):
-    return sinks.conflict_export(pc.conflicts(spark, d)).drop("Resolution Notes")
+    return sinks.conflict_export(pc.conflicts(spark, d))
 
 
 @_query("duplicate_export", tw.over("clusters", """
@@ -1168,9 +1214,10 @@ def windowed_events_stream(spark, d):
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     counts = progress.windowed_counts(
         feed.withColumnRenamed("event_type", "event"), "event", value="value")
-    base = f"{use_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = _fresh_folder(spark, "stream")
     progress.keep_latest(counts, f"{base}/result", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/result").withColumn(
+    landed = spark.read.parquet(f"{base}/result")
+    return progress.latest(landed, "window_start", "event").withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.check_twins import compare, connect
+from tests.test_duplicates import greedy
 from tidyshelf import fixed_values as fv
 from tidyshelf.operators import duplicates, grid
-from tidyshelf.plans import pipeline
+from tidyshelf.plans import part_catalog, pipeline
 from tidyshelf.sources import catalog, sinks
 from tidyshelf.sources.generate import COLUMNS, generate_catalog
 from tidyshelf.streaming import feed, progress
@@ -112,7 +113,23 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("windows").collect()) == sorted(batch.collect())
 
 
-QUICK = ["normalized_products", "validation_issues", "model_clusters", "conflicts", "row_scores",
+def test_latest_state_of_each_key(spark):
+    rows = [(1, "a", 5, 0), (1, "a", 7, 2), (2, "a", 1, 1), (1, "b", None, 0)]
+    landed = spark.createDataFrame(rows, "window int, key string, n int, batch_id long")
+    got = progress.latest(landed, "window", "key")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 7), (1, "b", None), (2, "a", 1)]
+
+
+def test_whole_job_follows_the_greedy_rule(spark):
+    rows = [tuple(r) for r in part_catalog.products(spark, SF).select(
+        "row_idx", "product_name", "brand", "category", "model_number").orderBy("row_idx").collect()]
+    got = {r["row_idx"]: r["centre"] for r in entry.queries()["whole_job"](spark, SF).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert {k: v for k, v in got.items() if v is not None} == greedy(rows, duplicates.THRESHOLD)
+
+
+QUICK = ["csv_roundtrip", "table_roundtrip", "windowed_events_stream", "conflict_export",
+         "normalized_products", "validation_issues", "model_clusters", "conflicts", "row_scores",
          "catalog_export", "job_progress", "products_after_resolution"]
 
 

@@ -71,13 +71,22 @@ def windowed_counts(events: DataFrame, key: str, ts: str = "ts", width: str = "1
 
 
 def keep_latest(frame: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Runs an aggregated stream over what has arrived; ``target`` holds its full result.
+    """Runs an aggregated stream over what has arrived; ``latest`` reads its result from ``target``.
 
-    Each trigger replaces the result of the one before, so a replay changes nothing.
+    Only rows that changed are written, each trigger's into its own partition, so a replay replaces
+    them, and the watermark of the stream bounds its state.
     """
 
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def land(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(target))
 
-    return (frame.writeStream.outputMode("complete").foreachBatch(replace)
+    return (frame.writeStream.outputMode("update").foreachBatch(land)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest(landed: DataFrame, *keys: str) -> DataFrame:
+    """The last state of each key among the changes that a stream wrote."""
+    others = [c for c in landed.columns if c not in (*keys, "batch_id")]
+    return landed.groupBy(*keys).agg(
+        F.max_by(F.struct(*others), "batch_id").alias("state")).select(*keys, "state.*")
