@@ -57,7 +57,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = WORDS, broadcast: int = BRO
     windows = item_windows(items, n)
     widths, count = windows.agg(F.collect_set("width"), F.count(F.lit(1))).first()
     short = sorted(w for w in widths if w < n)
-    if count <= broadcast:
+    small = count <= broadcast
+    if small:
         windows = F.broadcast(windows)
     hashed = docs.select("doc_id", F.xxhash64("text").alias("digest"),
                          words_of(F.col("text")).alias("w")).withColumn("h", _hashes(F.col("w")))
@@ -70,10 +71,14 @@ def hits(docs: DataFrame, items: DataFrame, n: int = WORDS, broadcast: int = BRO
         )).otherwise(F.array().cast("array<struct<key:long,at:int,width:int>>"))
 
     all_keys = keys(n) if not short else F.concat(keys(n), *map(keys, short))
+    # a broadcast join copies no row, so the words stay whole there; a shuffled probe takes its window only
+    window = F.slice("w", F.col("p.at"), F.col("p.width"))
     probes = hashed.select("doc_id", "digest", "w", F.explode(all_keys).alias("p")).select(
-        "doc_id", "digest", "w", "p.key", "p.at", F.col("p.width").alias("_width"))
+        "doc_id", "digest", F.col("w") if small else window.alias("w"), "p.key", "p.at",
+        F.col("p.width").alias("_width"))
+    own = F.slice("w", F.col("at"), F.col("width")) if small else F.col("w")
     found = probes.join(windows, "key").where(
-        (F.col("width") == F.col("_width")) & (F.slice("w", F.col("at"), F.col("width")) == F.col("window")))
+        (F.col("width") == F.col("_width")) & (own == F.col("window")))
     return found.select(
         "doc_id", "digest", "items",
         F.struct((F.col("at") - 1).cast("long").alias("start"),
