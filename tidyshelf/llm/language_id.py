@@ -7,7 +7,7 @@ one bit per language, so the AND of ``PROBES`` cells answers for all languages a
 trigrams are looked up together; for each language the set bits are counted, the filter's measured
 rate of false positives is taken out, and the language with the most wins.
 
-The table has a fixed size; the counts that make it are bounded by the trigrams there are.
+The table has a fixed size and is all that the driver gets; the counts that make it stay in Spark.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without training rows all
 others are ``und`` too; ties go to the name that sorts first; repeated rows count and are judged each;
@@ -23,9 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidyshelf.llm import frames
+from tidyshelf.session import cut
 
 NONE = "und"
 MOST = 64
@@ -73,30 +75,16 @@ class Filters:
         return self.table[first] & self.table[second]
 
 
-def build(names: list[str], counts: dict[str, dict[int, int]]) -> Filters:
-    """Filters from the trigram counts of each language."""
-    table = np.zeros(CELLS, np.uint64)
-    share = {}
-    for name in names:
-        total = sum(counts[name].values())
-        share[name] = {g: c / total for g, c in counts[name].items()}
-    top: dict[int, float] = {}
-    for of in share.values():
-        for g, s in of.items():
-            top[g] = max(top.get(g, 0.0), s)
-    for bit, name in enumerate(names):
-        kept = np.array([g for g, s in share[name].items()
-                         if counts[name][g] >= COUNT and s >= SHARE * top[g]], np.uint32)
-        for places in cells(kept):
-            table[places] |= np.uint64(1 << bit)
+def build(names: list[str], table: np.ndarray) -> Filters:
+    """Filters out of the table, with their false-positive rates."""
     bits = np.arange(len(names), dtype=np.uint64)
     filled = np.array([(table >> b & np.uint64(1)).mean() for b in bits])
     return Filters(names, table, filled ** PROBES)
 
 
 def fit(docs: DataFrame) -> Filters:
-    """Counts the trigrams of all rows that may be learnt from. Only the folded sums reach the driver;
-    they are bounded by languages times trigrams."""
+    """Counts the trigrams of all rows that may be learnt from, and sets the bits of those that are kept.
+    Only the cells with a bit reach the driver, at most ``CELLS`` of them."""
     known = docs.where("lang IS NOT NULL")
 
     def count(batches):
@@ -124,16 +112,29 @@ def fit(docs: DataFrame) -> Filters:
 
     sums = known.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(
         count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # languages beyond the most frequent ones are cut off before the counts come to the driver
-    names = [r[0] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "lang").limit(MOST).collect()]
-    rows = sums.where(F.col("lang").isin(names) & (F.col("n") >= COUNT)).toPandas() if names else None
-    names = sorted(names)
-    counts = {name: {} for name in names}
-    if rows is not None:
-        for name, own in rows.groupby("lang"):
-            counts[name] = dict(zip(own["gram"].tolist(), own["n"].tolist()))
-    return build(names, counts)
+    sums = cut(sums.where(F.col("n") >= COUNT))
+    totals = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(
+        F.desc("n"), "lang").limit(MOST).collect()}
+    names = sorted(totals)
+    table = np.zeros(CELLS, np.uint64)
+    if names:
+        bits = sums.sparkSession.createDataFrame(
+            [(name, totals[name], 1 << bit if bit < 63 else -1 << 63) for bit, name in enumerate(names)],
+            "lang string, total long, mask long")
+        share = F.col("n") / F.col("total")
+        kept = sums.join(F.broadcast(bits), "lang").select("gram", "mask", share.alias("share")).withColumn(
+            "top", F.max("share").over(W.partitionBy("gram"))).where(F.col("share") >= SHARE * F.col("top"))
+
+        def place(batches):
+            for batch in batches:
+                codes = batch.column("gram").to_numpy(zero_copy_only=False)
+                for at in cells(codes):
+                    yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("mask")], ["cell", "mask"])
+
+        filled = kept.select("gram", "mask").mapInArrow(place, "cell long, mask long").groupBy("cell").agg(
+            F.bit_or("mask").alias("mask")).toPandas()
+        table[filled["cell"]] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    return build(names, table)
 
 
 def language_id(docs: DataFrame, filters: Filters) -> DataFrame:
