@@ -427,7 +427,11 @@ def token_sorted_names(spark, d):
         "row_idx", F.col("ts").alias("sorted_name"))
 
 
-@_query("similarity_to_block_head")
+@_query("similarity_to_block_head", tw.over("names", """
+SELECT a AS head, b AS row_idx, score / 1000 AS similarity FROM to_head""", tw.name_scores("to_head", """
+SELECT h.head AS a, n.row_idx AS b FROM compared n
+JOIN (SELECT block, min(row_idx) AS head FROM compared GROUP BY block) h USING (block)
+WHERE n.row_idx <> h.head""")))
 def similarity_to_block_head(spark, d):
     """Each product against the first one of its brand and category block."""
     keyed = duplicates.with_keys(pc.products(spark, d)).withColumnRenamed("row_idx", "node")
@@ -445,18 +449,21 @@ def model_clusters(spark, d):
     return pc.model_clusters(spark, d)
 
 
-@_query("name_clusters")
+@_query("name_clusters", tw.over("name_clusters", "SELECT row_idx, centre FROM clusters"))
 def name_clusters(spark, d):
     return pc.name_clusters(spark, d)
 
 
-@_query("name_cluster_members")
+@_query("name_cluster_members", tw.over("name_clusters", """
+SELECT centre, row_idx, product_id, product_name, similarity, specs_summary FROM items"""))
 def name_cluster_members(spark, d):
     return duplicates.duplicate_items(pc.products(spark, d), pc.name_clusters(spark, d)).select(
         "centre", "row_idx", "product_id", "product_name", "similarity", "specs_summary")
 
 
-@_query("name_cluster_groups")
+@_query("name_cluster_groups", tw.over("name_clusters", """
+SELECT group_code, canonical_row_idx, canonical_product_id, canonical_name, similarity, members,
+  'pending' AS status, cast(NULL AS varchar) AS resolution_notes FROM groups"""))
 def name_cluster_groups(spark, d):
     return duplicates.duplicate_groups(duplicates.duplicate_items(
         pc.products(spark, d), pc.name_clusters(spark, d)))

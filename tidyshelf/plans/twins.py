@@ -255,6 +255,104 @@ groups AS MATERIALIZED (
     round(max(CASE WHEN row_idx <> centre THEN similarity END), 2) AS similarity,
     count(*) AS members FROM items GROUP BY centre)"""
 
+# Names: the longest common subsequence of two names is found bit by bit. A name is a map from its
+# characters to the places they stand at, as bits of one integer; a text then runs over that state.
+
+_SORTED_NAME = (r"array_to_string(list_sort(list_filter(string_split_regex(lower(product_name), "
+                r"'\s+'), lambda w: w <> '')), ' ')")
+
+
+def _lcs(masks: str, size: str, text: str) -> str:
+    full = f"((1::hugeint << {size}::hugeint) - 1)"
+    return (f"({size} - bit_count(list_reduce(list_prepend({full}, list_transform(string_split({text}, ''), "
+            f"lambda c: coalesce({masks}[c], 0::hugeint))), "
+            f"lambda s, u: ((s + (s & u)) | (s & ~u)) & {full})))")
+
+
+NAMES = f"""
+compared AS MATERIALIZED (
+  SELECT *, min(row_idx) OVER (PARTITION BY bk, ck, mk, nm) AS node,
+    left(bk, 6) || '|' || left(ck, 6) AS block, nullif(left(mk, 5), '') AS model_block
+  FROM (SELECT row_idx, {key('brand')} AS bk, {key('category')} AS ck, {key('model_number')} AS mk,
+    lower(product_name) AS nm, {_SORTED_NAME} AS ts FROM norm)),
+nodes AS MATERIALIZED (SELECT * FROM compared WHERE row_idx = node AND (mk <> '' OR nm <> '')),
+letters AS MATERIALIZED (
+  SELECT s, map_from_entries(list({{'k': c, 'v': bits}})) AS m FROM (
+    SELECT s, s[i] AS c, sum(1::hugeint << (i - 1)::hugeint)::hugeint AS bits FROM (
+      SELECT s, unnest(range(1, length(s) + 1)) AS i
+      FROM (SELECT nm AS s FROM compared UNION SELECT ts FROM compared)) GROUP BY s, c) GROUP BY s)"""
+
+
+def name_scores(out: str, pairs: str, floor: float = 0.0) -> str:
+    """Table ``out`` (a, b, score in thousandths) of the pairs of rows (a, b) that reach the floor."""
+    boost = "(x.bk <> '' AND x.bk = y.bk AND x.ck = y.ck)"
+    blend = ("cast(round_even(1000 * CASE WHEN boost THEN least(1.0::double, (0.7::double * token + 0.3::double * {p}) "
+             "* 1.08::double) ELSE 0.7::double * token + 0.3::double * {p} END, 0) AS bigint)")
+    least = round(floor * 1000)
+    return f"""
+{out}_keyed AS MATERIALIZED (
+  SELECT p.a, p.b, x.nm AS na, y.nm AS nb, x.ts AS ta, y.ts AS tb, {boost} AS boost,
+    CASE WHEN x.mk <> '' AND x.mk = y.mk THEN
+      CASE WHEN x.bk = y.bk OR x.bk = '' OR y.bk = '' THEN 950 ELSE 850 END END AS rule
+  FROM ({pairs}) p JOIN compared x ON x.row_idx = p.a JOIN compared y ON y.row_idx = p.b),
+{out}_tokens AS MATERIALIZED (
+  SELECT na, nb, ta, tb, 2.0::double * {_lcs('l.m', 'length(ta)', 'tb')} / (length(ta) + length(tb)) AS token
+  FROM (SELECT DISTINCT na, nb, ta, tb FROM {out}_keyed WHERE rule IS NULL AND na <> '' AND nb <> '') k
+  JOIN letters l ON l.s = k.ta),
+{out}_hopeful AS MATERIALIZED (
+  SELECT DISTINCT na, nb FROM {out}_keyed k JOIN {out}_tokens USING (na, nb, ta, tb)
+  WHERE k.rule IS NULL AND {blend.format(p='1.0::double')} >= {least}),
+{out}_ways AS (
+  SELECT na, nb, CASE WHEN length(na) <= length(nb) THEN na ELSE nb END AS short,
+    CASE WHEN length(na) <= length(nb) THEN nb ELSE na END AS long FROM {out}_hopeful
+  UNION SELECT na, nb, nb, na FROM {out}_hopeful WHERE length(na) = length(nb)),
+{out}_windows AS (
+  SELECT *, length(short) AS size, greatest(step - length(short), 0) AS lo, least(step, length(long)) AS hi
+  FROM (SELECT *, unnest(range(1, length(long) + length(short))) AS step FROM {out}_ways)),
+{out}_partial AS MATERIALIZED (
+  SELECT na, nb, max(2.0::double * {_lcs('l.m', 'size', 'substr(long, lo + 1, hi - lo)')} / (size + hi - lo)) AS partial
+  FROM {out}_windows JOIN letters l ON l.s = short GROUP BY na, nb),
+{out} AS MATERIALIZED (
+  SELECT a, b, coalesce(rule, {blend.format(p='partial')}, 0) AS score
+  FROM {out}_keyed LEFT JOIN {out}_tokens USING (na, nb, ta, tb) LEFT JOIN {out}_partial USING (na, nb)
+  WHERE coalesce(rule, {blend.format(p='partial')}, 0) >= {least})"""
+
+
+NAME_CLUSTERS = NAMES + "," + name_scores("edges", """
+  SELECT x.node AS a, y.node AS b FROM nodes x JOIN nodes y ON x.block = y.block AND x.node < y.node
+  UNION SELECT x.node, y.node FROM nodes x JOIN nodes y ON x.model_block = y.model_block AND x.node < y.node""",
+                                                  0.80) + """,
+turns AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY node) AS i, node, near FROM (
+    SELECT node, list(e.a) FILTER (e.a IS NOT NULL) AS near
+    FROM (SELECT a AS node FROM edges UNION SELECT b FROM edges) LEFT JOIN edges e ON e.b = node GROUP BY node)),
+walk AS (
+  SELECT 0::bigint AS i, []::bigint[] AS centres, NULL::bigint AS node, NULL::bigint AS centre
+  UNION ALL
+  SELECT i, CASE WHEN found IS NULL THEN list_append(centres, node) ELSE centres END, node, found FROM (
+    SELECT t.i, w.centres, t.node::bigint AS node, list_min(list_filter(t.near, lambda x: list_contains(w.centres, x)))::bigint AS found
+    FROM walk w JOIN turns t ON t.i = w.i + 1)),
+clusters AS MATERIALIZED (
+  SELECT row_idx, centre FROM (
+    SELECT row_idx, coalesce(w.centre, n.node) AS centre FROM compared n
+    LEFT JOIN (SELECT node, centre FROM walk WHERE node IS NOT NULL) w USING (node) WHERE n.mk <> '' OR n.nm <> '')
+  QUALIFY count(*) OVER (PARTITION BY centre) > 1),""" + name_scores(
+    "likeness", "SELECT centre AS a, row_idx AS b FROM clusters") + """,
+items AS MATERIALIZED (
+  SELECT c.row_idx, c.centre, CASE WHEN c.row_idx = c.centre THEN 1000 ELSE l.score END AS thousandths,
+    CASE WHEN c.row_idx = c.centre THEN 1.0 ELSE floor((l.score + 5) / 10.0) / 100 END::double AS similarity,
+    n.product_id, n.product_name, n.brand, n.model_number, n.price, n.power, n.voltage, n.source,
+    'Power: ' || n.power || ', Voltage: ' || n.voltage || ', Price: '
+      || coalesce(cast(n.price AS varchar), 'None') AS specs_summary
+  FROM clusters c JOIN likeness l ON l.a = c.centre AND l.b = c.row_idx JOIN norm n ON n.row_idx = c.row_idx),
+groups AS MATERIALIZED (
+  SELECT centre AS canonical_row_idx, 'DUP-' || lpad(cast(row_number() OVER (ORDER BY centre)
+    AS varchar), 4, '0') AS group_code,
+    max(CASE WHEN row_idx = centre THEN product_id END) AS canonical_product_id,
+    max(CASE WHEN row_idx = centre THEN product_name END) AS canonical_name,
+    (floor((max(CASE WHEN row_idx <> centre THEN thousandths END) + 5) / 10.0) / 100)::double AS similarity,
+    count(*) AS members FROM items GROUP BY centre)"""
+
 _FEEDS = [("brand_name", "Brand Name"), ("e1", "E1 Brand"), ("unilog", "Unilog Brand"),
           ("dib", "Dib Brand")]
 # Leftovers come first: the later brand columns, whenever an earlier one has a value.
@@ -375,10 +473,11 @@ _STAGES = {
     "scored": [NORM, ISSUES, CLUSTERS, CONFLICTS, scored(HIT)],
     "plain_scored": [NORM, ISSUES, scored("false")],
     "enrichment": [NORM, ENRICHMENT],
+    "names": [NORM, NAMES], "name_clusters": [NORM, NAME_CLUSTERS],
     "all": [NORM, ISSUES, CLUSTERS, CONFLICTS, scored(HIT), ENRICHMENT],
 }
 
 
 def over(stage: str, select: str, *extra: str) -> str:
     """A SELECT over the named stage; ``extra`` are further common table expressions."""
-    return "WITH " + ",\n".join([RAW, *_STAGES[stage], *extra]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([RAW, *_STAGES[stage], *extra]) + "\n" + select
