@@ -18,7 +18,7 @@ from tidyshelf.llm import (decontaminate, license_scan, packing, queries, qualit
 from tidyshelf.llm.frames import table
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["documents", "benchmark", "labels", "pages"]
+TABLES = ["documents", "benchmark", "labels", "pages", "embeddings"]
 
 
 @pytest.fixture(scope="module")

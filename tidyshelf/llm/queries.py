@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from tidyshelf.llm import decontaminate, secret_scan
 from tidyshelf.llm.frames import table
+from tidyshelf.llm.hard_negatives import hard_negatives
 from tidyshelf.llm.language_id import predict
 from tidyshelf.llm.license_scan import license_scan
+from tidyshelf.llm.ngram_join import jaccard_join
 from tidyshelf.llm.packing import pack
 from tidyshelf.llm.quality_rules import quality_rules
 from tidyshelf.llm.simhash import near_duplicates
 from tidyshelf.llm.suffix_dedup import repeats
 from tidyshelf.llm.toxicity import toxicity
 from tidyshelf.llm.url_filters import ALLOW, BLOCK, url_filter
+from tidyshelf.llm.whitening import whiten
 from tidyshelf.session import use_checkpoint_dir
 
 URL_RULES = (
@@ -77,6 +80,19 @@ def op10_language_id(spark, d):
     return predict(table(spark, d, "documents"))
 
 
+def op11_hard_negatives(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_ngram_jaccard(spark, d):
+    return jaccard_join(table(spark, d, "documents"))
+
+
+def op13_whitening(spark, d):
+    return whiten(table(spark, d, "embeddings"))
+
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 _URL_SQL = rf"""
@@ -149,12 +165,52 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)"""
 
 
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) AS y
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.y, b.y)::bigint AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, cast(row_number() OVER best AS integer) AS rank, vec_id AS negative_id, positive_score,
+  score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 5"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT k, count(*) AS n FROM grams GROUP BY k),
+links AS (
+  SELECT a.k AS a, b.k AS b FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k
+  JOIN sizes x ON x.k = a.k JOIN sizes y ON y.k = b.k
+  GROUP BY a.k, b.k, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT k AS a, k AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(other.doc_id) AS component_id,
+  coalesce(max(m), 0) AS n_links
+FROM d JOIN reach ON reach.a = d.k JOIN d other ON other.k = reach.b LEFT JOIN sizes ON sizes.k = d.k
+LEFT JOIN (SELECT a, count(*) AS m FROM links GROUP BY a) l ON l.a = d.k
+GROUP BY d.k, d.doc_id"""
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_toxicity, op3_packing, op4_url_filters, op5_license_scans, op6_quality_rules, op7_secret_scans,
-        op8_simhash, op9_decontamination, op10_language_id)}
+        op8_simhash, op9_decontamination, op10_language_id, op11_hard_negatives, op12_ngram_jaccard, op13_whitening)}
 
 
 def oracle_sql():
     return {"op4_url_filters": _URL_SQL, "op7_secret_scans": _SECRET_SQL,
-            "op9_decontamination": _LEAK_SQL}
+            "op9_decontamination": _LEAK_SQL, "op11_hard_negatives": _NEGATIVES_SQL,
+            "op12_ngram_jaccard": _JACCARD_SQL}
