@@ -114,6 +114,22 @@ def test_derived_overlaps_equal_intersections(monkeypatch):
     assert nj.overlaps(left, left)[0, 0] == len(left[0])
 
 
+def test_sketches_bound_intersections_from_above():
+    rnd = np.random.default_rng(8)
+    mixed = lambda s: nj._mixed(s * np.uint64(3) + np.uint64(1))
+    close = 0
+    for size in (1, 3, 40, 400, 3000):
+        base = np.arange(size, dtype=np.uint64)
+        for changed in (0, size // 10, size):
+            other = np.unique(np.concatenate([base[changed:], rnd.integers(1 << 40, 1 << 41, changed + size // 5).astype(np.uint64)]))
+            a, b = mixed(base), mixed(other)
+            both = len(set(a.tolist()) & set(b.tolist()))
+            most = nj.most_shared(len(a), nj.sketch(a), len(b), nj.sketch(b))
+            assert both <= most
+            close += most <= both + 0.3 * size
+    assert close >= 10
+
+
 @pytest.mark.parametrize("share", [0.02, 0.1, 0.5])
 def test_forest_connects_what_links_connect(share):
     links = np.random.default_rng(4).random((30, 40)) < share

@@ -18,6 +18,10 @@ lost or invented. Members of a relation are stored in bounded blocks, and each p
 own, so no task holds a relation. A pair of blocks gives back numbers of links and a spanning forest of
 them, never the pairs.
 
+Between the two, pairs of small relations are held against sketches, of a few bits an n-gram, that bound an
+intersection from above: a set's sketch has a bit for each hash value that an odd number of its n-grams
+has, and no bit in which two sketches differ can come from a shared n-gram.
+
 Sets and n-grams are known by 64-bit hashes. Defined cases: a null or blank text has an empty set and
 links with nothing; a text of fewer words is one n-gram; equal texts link with each other; rows with a
 null id count as links, and a component without any id is null; an empty table gives no rows.
@@ -43,6 +47,8 @@ WIDTH, LEAST = 5, 80
 BUCKETS = 1 << 16
 #: Sets of a block, and bytes of it; entries of a list's block; columns of one product.
 BLOCK, BLOCK_BYTES, LIST_BLOCK, COLUMNS_AT_ONCE = 512, 4 << 20, 64, 512
+#: Members of a relation whose pairs are sieved by sketches.
+SMALL = 16
 #: Classes a task remembers, so that the copies it meets are passed on once.
 REMEMBERED = 1 << 16
 #: Bits of the filter of classes that need their sets.
@@ -84,6 +90,21 @@ def relation_of(grams: np.ndarray) -> int:
     return int(_mixed(least[:1] + _mixed(least[1:2] + _mixed(least[2:])))[0].astype(np.int64))
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the n-grams by hash value, at two to four bits an n-gram."""
+    size = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def most_shared(n_a: int, a: bytes, n_b: int, b: bytes) -> int:
+    """Upper bound of an intersection by the two sketches; the longer one is folded to the other's size."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
 def _sets(batches, width: int):
     for part in frames.slices(batches):
         ids = part.column("doc_id") if "doc_id" in part.schema.names else None
@@ -91,7 +112,7 @@ def _sets(batches, width: int):
 
 
 def profile(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Stored rows of two kinds: (doc_id, cid, n, relation) of every text, and (bucket, count)."""
+    """Stored rows of two kinds: (doc_id, cid, n, relation, sketch) of every text, and (bucket, count)."""
     def rows(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for ids, sets in _sets(batches, width):
@@ -101,14 +122,14 @@ def profile(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 ids, pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([relation_of(s) if len(s) else 0 for s in sets], pa.int64()),
-                pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], names)
+                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int64())], names)
         used = np.flatnonzero(counts)
-        empty = [pa.nulls(len(used), pa.int64())] * 4
+        empty = [*[pa.nulls(len(used), pa.int64())] * 4, pa.nulls(len(used), pa.binary())]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(used.astype(np.int32)), pa.array(counts[used])], names)
 
-    names = ["doc_id", "cid", "n", "relation", "bucket", "count"]
+    names = ["doc_id", "cid", "n", "relation", "sketch", "bucket", "count"]
     return cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        rows, "doc_id long, cid long, n long, relation long, bucket int, count long"))
+        rows, "doc_id long, cid long, n long, relation long, sketch binary, bucket int, count long"))
 
 
 def bucket_ranks(profiled: DataFrame) -> np.ndarray:
@@ -268,6 +289,30 @@ def related_pairs(entries: DataFrame, classes: DataFrame, least: int = LEAST) ->
         pairs, "a long, b long").distinct())
 
 
+def sieved(pairs: DataFrame, classes: DataFrame, profiled: DataFrame, least: int = LEAST) -> DataFrame:
+    """Stored pairs without those of small relations in which no two sketches allow a link."""
+    asked = pairs.select(F.col("a").alias("leader")).unionByName(pairs.select(F.col("b").alias("leader"))).distinct()
+    small = classes.where(F.col("members") <= SMALL).select("cid", "leader").join(asked, "leader", "left_semi")
+    known = profiled.where("bucket IS NULL AND n > 0").select("cid", F.struct("n", "sketch").alias("one")).join(
+        small, "cid").groupBy("leader", "cid").agg(F.first("one").alias("one")).groupBy("leader").agg(
+        F.collect_list("one").alias("sketches"))
+
+    def keep(batches):
+        for batch in batches:
+            out = []
+            for a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))):
+                if left is None or right is None or any(
+                        (100 + least) * most_shared(x["n"], x["sketch"], y["n"], y["sketch"]) >= least * (x["n"] + y["n"])
+                        for x in left for y in right):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    both = pairs.join(known.select(F.col("leader").alias("a"), F.col("sketches").alias("left")), "a", "left").join(
+        known.select(F.col("leader").alias("b"), F.col("sketches").alias("right")), "b", "left")
+    return cut(both.select("a", "b", "left", "right").mapInArrow(keep, "a long, b long"))
+
+
 # -- answers ---------------------------------------------------------------------------------------
 
 def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -431,7 +476,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Dat
     profiled = profile(docs, width)
     classes = classes_of(profiled)
     entries = shared_entries(docs, bucket_ranks(profiled), width, least)
-    pairs = related_pairs(entries, classes, least)
+    pairs = sieved(related_pairs(entries, classes, least), classes, profiled, least)
     found = answers(member_blocks(docs, classes, pairs, width), pairs, least)
     edges = found.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b"))
     groups = components(edges).withColumnRenamed("node", "cid")
