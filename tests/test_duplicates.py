@@ -91,3 +91,31 @@ def test_number_rows(spark):
     df = spark.range(0, 100, 3).repartition(3)
     got = number_rows(df, "id", "n", start=1, width=8).orderBy("id").collect()
     assert [r["n"] for r in got] == list(range(1, len(got) + 1))
+
+
+def test_pairs_are_sieved_before_python(spark):
+    rows = catalogue(5, 150)
+    member = duplicates._open_nodes(duplicates.with_keys(spark.createDataFrame(rows, FIELDS)))[0]
+    pairs = duplicates._side(member, "a", "block").join(duplicates._side(member, "b", "block"), "block").where(
+        "a_node < b_node")
+    near = duplicates.reaching(pairs, 0.8)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    join, python = plan.index("Join"), plan.index("ArrowEvalPython")
+    assert python < join and "bit_count" in plan[join:] and "bit_count" not in plan[:join]
+    asked, left = pairs.count(), pairs.where(duplicates.possible(0.8)).count()
+    scored = pairs.where(duplicates.possible(0.8)).where(duplicates._rule().isNull()).count()
+    want = sum(similarity(a, b) >= 0.8 for i, a in enumerate(rows) for b in rows[i + 1:] if blocks(a) & blocks(b))
+    found = near.select("a_node", "b_node").distinct().count()
+    assert found <= want and 0 < scored < left < 0.7 * asked
+
+
+def test_low_nodes_hold_the_first_of_each_block(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "RANKED", 10)
+    live = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("node"), (F.col("id") % 3 * (F.col("id") % 2)).alias("block"))
+    for batch in (20, 300, 4000):
+        low = duplicates._low_nodes(live, batch)
+        for block, in live.select("block").distinct().collect():
+            every = sorted(r["node"] for r in live.where(F.col("block") == block).collect())
+            kept = sorted(r["node"] for r in low.where(F.col("block") == block).collect())
+            assert kept[:batch] == every[:batch]
+            assert len(kept) <= max(3 * batch, 50) or len(every) < 3 * batch

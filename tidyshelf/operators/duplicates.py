@@ -9,7 +9,10 @@ ever forming all pairs of a block:
 * per round only the first ``batch`` open nodes of each block are compared with
   each other; those without a smaller similar neighbour are centres;
 * each new centre is compared with the open nodes of its blocks, which closes
-  its whole neighbourhood; the batch then doubles.
+  its whole neighbourhood; the batch then grows fourfold.
+
+Pairs are held against a bound by the characters that two names share inside the join, before
+anything is sent to Python; what is left is decided by further bounds, and few pairs need all windows.
 
 A dense block is used up by a few centres; the number of comparisons is that of
 the sequential rule. Big blocks are spread over salted sub-keys on both sides of
@@ -29,7 +32,9 @@ from tidyshelf.session import cut, number_rows
 THRESHOLD = 0.80
 CHUNK = 256          # batch nodes per salted chunk of a block
 SHARD = 4096         # open nodes per salted shard of a block
+RANKED = 1000        # most rows a block that Spark cuts to before it sorts
 KEYS = ["bk", "ck", "mk", "nm", "ts"]
+COUNTS = ["ln", "b0", "b1"]   # length of the sorted name and its character counts
 
 
 # -- keys and blocks ---------------------------------------------------------------
@@ -86,25 +91,48 @@ def candidate_counts(products: DataFrame) -> DataFrame:
 
 # -- similarity of given pairs -----------------------------------------------------
 
-def score_pairs(pairs: DataFrame, floor: float = 0.0, out: str = "similarity") -> DataFrame:
+def score_pairs(pairs: DataFrame, out: str = "similarity") -> DataFrame:
     """Similarity of the two sides ``a_*`` and ``b_*`` of each row.
 
-    The model rule is native. Only pairs it leaves open, and whose lengths can
-    still reach ``floor``, send their names to Python; the others send blanks.
+    The model rule is native. Only pairs it leaves open send their names to Python; the others send blanks.
     """
-    side = lambda s: [F.col(f"{s}_{k}") for k in KEYS]
-    (ba, ca, ma, na, ta), (bb, cb, mb, nb, tb) = side("a"), side("b")
-    boost = sim.boosted(ba, bb, ca, cb)
-    ruled = pairs.withColumn("_rule", sim.model_similarity(ma, mb, ba, bb))
-    open_ = F.col("_rule").isNull() & (sim.length_bound(ta, tb, boost) >= floor - 5e-4)
-    sent = lambda c: F.when(open_, c).otherwise(F.lit(""))
-    named = sim.name_similarity(floor)(sent(ta), sent(tb), sent(na), sent(nb), boost)
-    return ruled.withColumn(out, F.coalesce("_rule", named)).drop("_rule")
+    rule, boost = _rule(), _boost()
+    sent = lambda k: F.when(F.col("_rule").isNull(), F.col(k)).otherwise(F.lit(""))
+    named = sim.name_similarity()(sent("a_ts"), sent("b_ts"), sent("a_nm"), sent("b_nm"), boost)
+    return pairs.withColumn("_rule", rule).withColumn(out, F.coalesce("_rule", named)).drop("_rule")
+
+
+def _rule() -> Column:
+    return sim.model_similarity(F.col("a_mk"), F.col("b_mk"), F.col("a_bk"), F.col("b_bk"))
+
+
+def _boost() -> Column:
+    return sim.boosted(F.col("a_bk"), F.col("b_bk"), F.col("a_ck"), F.col("b_ck"))
+
+
+def possible(floor: float) -> Column:
+    """Whether a pair of nodes can reach ``floor``: by the model rule, or by the characters both names have.
+
+    No common subsequence is longer than the characters two names share, so no pair is lost.
+    """
+    bits = lambda s: [F.col(f"{s}_b0"), F.col(f"{s}_b1")]
+    shared = sim.most_common_letters(F.col("a_ln"), bits("a"), F.col("b_ln"), bits("b"))
+    by_name = (F.col("a_ln") > 0) & (F.col("b_ln") > 0) & (
+        sim.similarity_bound(shared, F.col("a_ln") + F.col("b_ln"), _boost()) >= floor - 5e-4)
+    return F.coalesce(_rule() >= floor, by_name)
+
+
+def reaching(pairs: DataFrame, floor: float) -> DataFrame:
+    """The pairs of nodes that reach ``floor``. ``possible`` is tried where the pairs are made; what the
+    model rule leaves open then goes to Python, which need not work out whole scores."""
+    sent = lambda k: F.when(_rule().isNull(), F.col(k)).otherwise(F.lit(""))
+    named = sim.names_reach(floor)(sent("a_ts"), sent("b_ts"), sent("a_nm"), sent("b_nm"), _boost())
+    return pairs.where(possible(floor)).where(F.coalesce(_rule() >= floor, named))
 
 
 def _side(df: DataFrame, s: str, *extra: str) -> DataFrame:
-    return df.select(*extra, F.col("node").alias(f"{s}_node"),
-                     *[F.col(k).alias(f"{s}_{k}") for k in KEYS])
+    return df.select(*extra, F.col("node").alias(f"{s}_node"), *[F.col(k).alias(f"{s}_{k}") for k in KEYS],
+                     *[F.col(k).alias(f"{s}_{k}") for k in COUNTS if k in df.columns])
 
 
 # -- clustering --------------------------------------------------------------------
@@ -112,22 +140,39 @@ def _side(df: DataFrame, s: str, *extra: str) -> DataFrame:
 def _open_nodes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block membership of nodes that share a block, node of each key set)."""
     nodes = keyed.groupBy(*KEYS).agg(F.min("row_idx").alias("node"))
+    first, second = sim.letter_bits(F.col("ts"))
     placed = nodes.where((F.col("mk") != "") | (F.col("nm") != "")).select(
-        "node", *KEYS,
+        "node", *KEYS, F.length("ts").alias("ln"), first.alias("b0"), second.alias("b1"),
         F.explode_outer(block_keys(F.col("bk"), F.col("ck"), F.col("mk"))).alias("block"))
     sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = placed.join(sizes, "block").select(
-        "block", "node", *KEYS,
+        "block", "node", *KEYS, *COUNTS,
         F.ceil(F.col("size") / SHARD).cast("int").alias("shards"),
         F.lit(None).cast("bigint").alias("centre"))
     return member, nodes
 
 
+def _low_nodes(live: DataFrame, batch: int) -> DataFrame:
+    """Rows among which the first ``batch`` of each block are found.
+
+    Up to ``RANKED`` Spark cuts each task's rows to the rank asked for. For more, a quantile sketch per block,
+    which is merged like a sum, gives a node that at least ``batch`` rows do not exceed.
+    """
+    if batch <= RANKED:
+        return live
+    shares = [2.0 ** -k for k in range(48)]
+    cuts = live.groupBy("block").agg(F.percentile_approx("node", shares, 10_000).alias("at"), F.count(F.lit(1)).alias("_n"))
+    halvings = F.greatest(F.floor(F.log2(F.col("_n") / F.lit(1.1 * batch))), F.lit(0)).cast("int")
+    cuts = cuts.select("block", F.when(halvings < 1, F.lit(None)).otherwise(
+        F.get("at", F.least(halvings, F.lit(47)))).alias("_cut"))
+    return live.join(cuts, "block").where("_cut IS NULL OR node <= _cut").drop("_cut")
+
+
 def _centres(member: DataFrame, batch: int, floor: float) -> DataFrame:
     """Open nodes that are settled as centres by comparing the head of each block."""
     live = member.where("centre is null")
     head = (
-        live.withColumn("rank", F.row_number().over(W.partitionBy("block").orderBy("node")))
+        _low_nodes(live, batch).withColumn("rank", F.row_number().over(W.partitionBy("block").orderBy("node")))
         .where(F.col("rank") <= batch)
         .withColumn("chunk", F.floor((F.col("rank") - 1) / CHUNK).cast("int"))
     )
@@ -147,8 +192,7 @@ def _centres(member: DataFrame, batch: int, floor: float) -> DataFrame:
             "i", F.explode(F.sequence(F.lit(0), F.col("chunk"))))
         on = ["block", "i", "j"]
     pairs = _side(left, "a", *on).join(_side(right, "b", *on), on).where("a_node < b_node")
-    beaten = score_pairs(pairs, floor).where(F.col("similarity") >= floor).select(
-        F.col("b_node").alias("node")).distinct()
+    beaten = reaching(pairs, floor).select(F.col("b_node").alias("node")).distinct()
     return ready.join(beaten, "node", "left_anti")
 
 
@@ -165,7 +209,7 @@ def _hits(member: DataFrame, centres: DataFrame, floor: float) -> DataFrame:
         .where("a_node < b_node and (centre is null or a_node < centre)")
     )
     return (
-        score_pairs(pairs, floor).where(F.col("similarity") >= floor)
+        reaching(pairs, floor)
         .groupBy(F.col("b_node").alias("node")).agg(F.min("a_node").alias("hit"))
     )
 
@@ -200,7 +244,7 @@ def cluster(products: DataFrame, threshold: float = THRESHOLD, batch: int = 8) -
         member = cut(watched.drop("first_open"))
         if member.where("centre is null").isEmpty():
             break
-        batch *= 2
+        batch *= 4
     taken = found[0]
     for more in found[1:]:
         taken = taken.unionByName(more)

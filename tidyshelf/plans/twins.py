@@ -286,7 +286,8 @@ letters AS MATERIALIZED (
 def name_scores(out: str, pairs: str, floor: float = 0.0) -> str:
     """Table ``out`` (a, b, score in thousandths) of the pairs of rows (a, b) that reach the floor."""
     boost = "(x.bk <> '' AND x.bk = y.bk AND x.ck = y.ck)"
-    blend = ("cast(round_even(1000 * CASE WHEN boost THEN least(1.0::double, (0.7::double * token + 0.3::double * {p}) "
+    # DuckDB's least() skips NULL, so a pair without a partial ratio is kept out of it.
+    blend = ("cast(round_even(1000 * CASE WHEN {p} IS NULL THEN NULL WHEN boost THEN least(1.0::double, (0.7::double * token + 0.3::double * {p}) "
              "* 1.08::double) ELSE 0.7::double * token + 0.3::double * {p} END, 0) AS bigint)")
     least = round(floor * 1000)
     return f"""
