@@ -469,19 +469,19 @@ def name_cluster_groups(spark, d):
         pc.products(spark, d), pc.name_clusters(spark, d)))
 
 
-@_query("cluster_members", tw.over("clusters", """
+@_query("cluster_members", tw.over("name_clusters", """
 SELECT row_idx, centre, product_id, brand, model_number, similarity, specs_summary FROM items"""))
 def cluster_members(spark, d):
     return pc.items(spark, d).select("row_idx", "centre", "product_id", "brand", "model_number",
                                      "similarity", "specs_summary")
 
 
-@_query("duplicate_groups", tw.over("clusters", """
-SELECT group_code, canonical_row_idx, canonical_product_id, similarity, members, 'pending' AS status
-FROM groups"""))
+@_query("duplicate_groups", tw.over("name_clusters", """
+SELECT group_code, canonical_row_idx, canonical_product_id, canonical_name, similarity, members,
+  'pending' AS status FROM groups"""))
 def duplicate_groups(spark, d):
     return pc.groups(spark, d).select("group_code", "canonical_row_idx", "canonical_product_id",
-                                      "similarity", "members", "status")
+                                      "canonical_name", "similarity", "members", "status")
 
 
 @_query("group_listing", tw.over("all", """
@@ -508,7 +508,7 @@ _RESOLVED_GROUPS = """
 resolved AS (SELECT *, cast(group_code[5:] AS bigint) % 3 AS r FROM groups)"""
 
 
-@_query("group_counters", tw.over("clusters", """
+@_query("group_counters", tw.over("name_clusters", """
 SELECT count(*) AS total_groups, cast(sum(members) AS bigint) AS total_duplicate_items,
   count(*) FILTER (r = 2) AS pending_groups, count(*) FILTER (r = 0) AS merged_groups
 FROM resolved""", _RESOLVED_GROUPS))
@@ -517,7 +517,7 @@ def group_counters(spark, d):
         pc.groups(spark, d), _group_actions(spark, d)))
 
 
-@_query("resolved_groups", tw.over("clusters", """
+@_query("resolved_groups", tw.over("name_clusters", """
 SELECT group_code, CASE r WHEN 0 THEN 'merged' WHEN 1 THEN 'ignored' ELSE 'pending' END AS status,
   CASE r WHEN 0 THEN 'Duplicate cluster marked as merged'
     WHEN 1 THEN 'Duplicate cluster marked as ignored' END AS resolution_notes
@@ -527,7 +527,7 @@ def resolved_groups(spark, d):
         "group_code", "status", "resolution_notes")
 
 
-@_query("catalog_without_merged", tw.over("clusters", """
+@_query("catalog_without_merged", tw.over("name_clusters", """
 SELECT row_idx, product_id FROM norm WHERE row_idx NOT IN (
   SELECT c.row_idx FROM clusters c JOIN resolved r ON r.canonical_row_idx = c.centre
   WHERE r.r = 0 AND c.row_idx <> c.centre)""", _RESOLVED_GROUPS))
@@ -535,7 +535,7 @@ def catalog_without_merged(spark, d):
     groups = duplicates.resolve_groups(pc.groups(spark, d), _group_actions(spark, d))
     return duplicates.without_merged(
         pc.products(spark, d).select("row_idx", "product_id"), groups,
-        pc.model_clusters(spark, d))
+        pc.name_clusters(spark, d))
 
 
 # -- conflicts ---------------------------------------------------------------------------
@@ -557,7 +557,7 @@ SELECT row_idx, field, min(other_row_idx) AS other_row_idx FROM spec GROUP BY ro
     for f in ("power", "voltage", "price")) + ")"))
 def spec_conflicts_all_members(spark, d):
     return conflicts.spec_conflicts(
-        pc.products(spark, d), pc.model_clusters(spark, d), pairs="all").select(
+        pc.products(spark, d), pc.name_clusters(spark, d), pairs="all").select(
         "row_idx", "field", "other_row_idx")
 
 
@@ -921,7 +921,7 @@ _STAGES = [("Uploaded", "t"), ("Parsed & Schema", "t"), ("Normalized", "t"),
   (SELECT count(*) FROM clusters WHERE row_idx <> centre) AS redundant,
   (SELECT count(*) FROM groups) AS g FROM scored)"""))
 def funnel(spark, d):
-    return reports.funnel(pc.full(spark, d), pc.model_clusters(spark, d))
+    return reports.funnel(pc.full(spark, d), pc.name_clusters(spark, d))
 
 
 @_query("brand_breakdown", tw.over("scored", """
@@ -1094,7 +1094,7 @@ def product_detail(spark, d):
         F.col("ai_intelligence.description").alias("normalized_description"))
 
 
-@_query("group_membership", tw.over("clusters", """
+@_query("group_membership", tw.over("name_clusters", """
 SELECT c.row_idx, g.group_code, g.members AS total_duplicates_in_group
 FROM clusters c JOIN groups g ON g.canonical_row_idx = c.centre"""))
 def group_membership(spark, d):
@@ -1127,9 +1127,12 @@ def catalog_export(spark, d):
     return sinks.catalog_export(pc.scored(spark, d), pc.enrichment(spark, d))
 
 
-@_query("whole_job")
+@_query("whole_job", tw.over("all", """
+SELECT s.row_idx, s.product_name, s.validation_status, s.quality_score, s.ai_enriched, i.centre, i.similarity,
+  (SELECT count(*) FROM conflicts c WHERE c.row_idx = s.row_idx) AS conflict_count
+FROM scored s LEFT JOIN items i ON i.row_idx = s.row_idx"""))
 def whole_job(spark, d):
-    """The job itself over the whole catalogue, names kept: per row its score, cluster and conflicts."""
+    """The job itself over the whole catalogue: per row its score, cluster and conflicts."""
     done = pipeline.run(pc.raw(spark, d), pc.MAPPING)
     conflicts_ = done.conflicts.groupBy("row_idx").agg(F.count(F.lit(1)).alias("conflict_count"))
     return done.products.select(
@@ -1148,14 +1151,13 @@ def conflict_export(spark, d):
     return sinks.conflict_export(pc.conflicts(spark, d))
 
 
-@_query("duplicate_export", tw.over("clusters", """
+@_query("duplicate_export", tw.over("name_clusters", """
 SELECT g.group_code AS "Group Code", 'pending' AS "Group Status",
-  round(g.similarity * 100, 1) AS "Cluster Similarity %", i.product_id AS "Product ID",
-  i.brand AS "Brand", i.model_number AS "Model Number", i.specs_summary AS "Specs Summary"
+  round(g.similarity * 100, 1) AS "Cluster Similarity %", g.canonical_name AS "Canonical Product",
+  i.product_id AS "Product ID", i.product_name AS "Product Name", i.brand AS "Brand", i.model_number AS "Model Number", i.specs_summary AS "Specs Summary"
 FROM items i JOIN groups g ON g.canonical_row_idx = i.centre"""))
 def duplicate_export(spark, d):
-    return sinks.duplicate_export(pc.groups(spark, d), pc.items(spark, d)).drop(
-        "Canonical Product", "Product Name")
+    return sinks.duplicate_export(pc.groups(spark, d), pc.items(spark, d))
 
 
 @_query("validation_export", tw.over("issues", """

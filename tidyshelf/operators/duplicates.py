@@ -252,6 +252,13 @@ def cluster(products: DataFrame, threshold: float = THRESHOLD, batch: int = 8) -
     return _spread_to_rows(keyed, nodes, taken)
 
 
+def cluster_by_model(products: DataFrame) -> DataFrame:
+    """(row_idx, centre) of rows that share a model key with others: what the model rule alone would join."""
+    keyed = with_keys(products).where("mk <> ''").select("row_idx", "mk")
+    heads = keyed.groupBy("mk").agg(F.min("row_idx").alias("centre"), F.count(F.lit(1)).alias("_n"))
+    return keyed.join(heads.where("_n > 1"), "mk").select("row_idx", "centre")
+
+
 def _spread_to_rows(keyed: DataFrame, nodes: DataFrame, taken: DataFrame) -> DataFrame:
     """From nodes back to rows; copies of a centre belong to it."""
     comparable = (F.col("mk") != "") | (F.col("nm") != "")

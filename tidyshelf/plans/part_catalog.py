@@ -156,15 +156,10 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.issue_rows(validated(spark, sf_dir))
 
 
-def unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same products with their names left out, so that the model rule decides alone."""
-    return products(spark, sf_dir).withColumn("product_name", F.lit(""))
-
-
 @stored
 def model_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters by the model rule alone."""
-    return duplicates.cluster(unnamed(spark, sf_dir))
+    return duplicates.cluster_by_model(products(spark, sf_dir))
 
 
 @stored
@@ -175,7 +170,7 @@ def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stored
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.duplicate_items(unnamed(spark, sf_dir), model_clusters(spark, sf_dir))
+    return duplicates.duplicate_items(products(spark, sf_dir), name_clusters(spark, sf_dir))
 
 
 @stored
@@ -186,7 +181,7 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stored
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflict_ops.detect_conflicts(
-        products(spark, sf_dir), list(COLUMNS), model_clusters(spark, sf_dir))
+        products(spark, sf_dir), list(COLUMNS), name_clusters(spark, sf_dir))
 
 
 @stored

@@ -238,22 +238,7 @@ model_keys AS MATERIALIZED (SELECT row_idx, {key('model_number')} AS mk, {key('b
   FROM norm),
 clusters AS MATERIALIZED (
   SELECT row_idx, min(row_idx) OVER (PARTITION BY mk) AS centre FROM model_keys WHERE mk <> ''
-  QUALIFY count(*) OVER (PARTITION BY mk) > 1),
-items AS MATERIALIZED (
-  SELECT c.row_idx, c.centre, cast(CASE WHEN c.row_idx = c.centre THEN 1.0
-    WHEN m.bk = h.bk OR m.bk = '' OR h.bk = '' THEN 0.95 ELSE 0.85 END AS double)
-      AS similarity,
-    n.product_id, n.brand, n.model_number, n.price, n.power, n.voltage, n.source,
-    'Power: ' || n.power || ', Voltage: ' || n.voltage || ', Price: '
-      || coalesce(cast(n.price AS varchar), 'None') AS specs_summary
-  FROM clusters c JOIN model_keys m USING (row_idx) JOIN model_keys h ON h.row_idx = c.centre
-  JOIN norm n ON n.row_idx = c.row_idx),
-groups AS MATERIALIZED (
-  SELECT centre AS canonical_row_idx, 'DUP-' || lpad(cast(row_number() OVER (ORDER BY centre)
-    AS varchar), 4, '0') AS group_code,
-    max(CASE WHEN row_idx = centre THEN product_id END) AS canonical_product_id,
-    round(max(CASE WHEN row_idx <> centre THEN similarity END), 2) AS similarity,
-    count(*) AS members FROM items GROUP BY centre)"""
+  QUALIFY count(*) OVER (PARTITION BY mk) > 1)"""
 
 # Names: the longest common subsequence of two names is found bit by bit. A name is a map from its
 # characters to the places they stand at, as bits of one integer; a text then runs over that state.
@@ -470,12 +455,12 @@ enrichment AS MATERIALIZED (
 
 _STAGES = {
     "norm": [NORM], "issues": [NORM, ISSUES], "clusters": [NORM, CLUSTERS],
-    "conflicts": [NORM, CLUSTERS, CONFLICTS],
-    "scored": [NORM, ISSUES, CLUSTERS, CONFLICTS, scored(HIT)],
+    "conflicts": [NORM, NAME_CLUSTERS, CONFLICTS],
+    "scored": [NORM, ISSUES, NAME_CLUSTERS, CONFLICTS, scored(HIT)],
     "plain_scored": [NORM, ISSUES, scored("false")],
     "enrichment": [NORM, ENRICHMENT],
     "names": [NORM, NAMES], "name_clusters": [NORM, NAME_CLUSTERS],
-    "all": [NORM, ISSUES, CLUSTERS, CONFLICTS, scored(HIT), ENRICHMENT],
+    "all": [NORM, ISSUES, NAME_CLUSTERS, CONFLICTS, scored(HIT), ENRICHMENT],
 }
 
 
