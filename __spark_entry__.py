@@ -104,6 +104,35 @@ def csv_roundtrip(spark, d):
         "s_acctbal", F.col("s_acctbal").cast("double"))
 
 
+@_query("csv_multiline", """
+SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, cast(p_partkey AS varchar) AS p_partkey,
+  p_name || chr(10) || '"' || p_type || '",' || chr(10) || chr(10) || p_brand AS remark,
+  CASE WHEN p_partkey % 3 = 0 THEN p_type || chr(10) || 'loose' ELSE p_type END AS kind, p_size
+FROM part""")
+def csv_multiline(spark, d):
+    """The table as delimited text with line breaks, quotes and separators in its cells, read as a catalogue."""
+    path = _fresh_folder(spark, "csv")
+    parts = pc.table(spark, d, "part").orderBy("p_partkey").selectExpr(
+        "p_partkey", "concat(p_name, '\\n\"', p_type, '\",\\n\\n', p_brand) AS remark",
+        "CASE WHEN p_partkey % 3 = 0 THEN concat(p_container, '\\nloose') ELSE p_container END AS container", "p_size")
+    sinks.write_csv(parts, path)
+    return catalog.read_catalog(spark, path, "csv").withColumn("p_size", F.col("p_size").cast("int"))
+
+
+@_query("csv_mixed_encodings", """
+SELECT row_number() OVER (ORDER BY s_suppkey % 2, s_suppkey) - 1 AS row_idx, cast(s_suppkey AS varchar) AS s_suppkey,
+  'Größe é ' || trim(s_name) AS label FROM supplier""")
+def csv_mixed_encodings(spark, d):
+    """One catalogue out of files of two encodings."""
+    root = _fresh_folder(spark, "csv")
+    suppliers = pc.table(spark, d, "supplier").orderBy("s_suppkey").select(
+        "s_suppkey", F.concat(F.lit("Größe é "), F.trim("s_name")).alias("label"))
+    for rest, encoding in enumerate(["UTF-8", "ISO-8859-1"]):
+        suppliers.where(F.col("s_suppkey") % 2 == rest).write.option("header", True).option(
+            "encoding", encoding).csv(f"{root}/{rest}")
+    return catalog.read_catalog(spark, f"{root}/*", "csv")
+
+
 @_query("table_roundtrip", """
 SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority AS job_id FROM orders""")
 def table_roundtrip(spark, d):

@@ -1,4 +1,4 @@
-"""Catalogue scans: delimiter and encoding detection, clean headers, row numbers."""
+"""Catalogue scans: delimiter detection, records, clean headers, row numbers."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidyshelf.functions import text
+from tidyshelf.sources.records import Quotes, records
 
 _DELIMITERS = [",", "\t", ";", "|"]
 _FORMAT_BY_EXTENSION = {
@@ -18,8 +19,14 @@ _FORMAT_BY_EXTENSION = {
 }
 
 
-def detect_layout(spark: SparkSession, path: str, encoding: str = "UTF-8",
-                  sep: str | None = None) -> tuple[str, list[str]]:
+def _decoded(line: bytes) -> str:
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+def detect_layout(spark: SparkSession, path: str, sep: str | None = None) -> tuple[str, list[str]]:
     """Separator and headers of delimited files, judged on all lines of each.
 
     Preferred is the candidate that occurs in the header line and equally often in the
@@ -50,9 +57,11 @@ def detect_layout(spark: SparkSession, path: str, encoding: str = "UTF-8",
     ).select("header", (-F.greatest(*[f"s{i}" for i in range(len(counts))])["col3"]).alias("best"))
     # Different headers are refused below, so few rows tell.
     found = {
-        (sep or _DELIMITERS[row["best"]], row["header"].decode(encoding))
+        (sep or _DELIMITERS[row["best"]], _decoded(row["header"]))
         for row in layouts.distinct().limit(1000).collect()
     }
+    if any(Quotes(mark).inside(line.encode(), False) for mark, line in found):
+        raise ValueError(f"a header in {path} has a line break")
     parsed = {
         (mark, tuple(h.strip() for h in next(csv.reader([line.lstrip("\ufeff")], delimiter=mark))))
         for mark, line in found
@@ -62,12 +71,6 @@ def detect_layout(spark: SparkSession, path: str, encoding: str = "UTF-8",
     return (parsed.pop() if parsed else (sep or ",", ()))
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless the file has bytes that do not decode; then ISO-8859-1."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
-
-
 def unique_headers(headers: list[str]) -> list[str | None]:
     """Trimmed headers by position; None for those without a name and for all but the last of equal
     ones. Of names that differ in case only, which Spark cannot tell apart, the earlier get a number.
@@ -140,36 +143,29 @@ def number_splits(placed: DataFrame, out: str) -> DataFrame:
     )
 
 
-def read_catalog(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None,
-                 encoding: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None) -> DataFrame:
     """Messy catalogue as text columns plus ``row_idx``.
 
     ``fmt`` defaults to the extension (csv, tsv, txt, json, parquet; csv when
     unknown). Short CSV rows are padded and extra cells cut; all files of a folder must have
-    the same header line. ``multi_line`` is needed only for quoted line breaks in cells; it
-    makes each file a single split.
+    the same header line. Quoted cells may hold line breaks, and each file has its own encoding:
+    see ``records``. Large files are read in splits all the same.
     """
     fmt = fmt or _FORMAT_BY_EXTENSION.get(os.path.splitext(path.rstrip("/"))[1].lower(), "csv")
-    headers = None
     if fmt == "csv":
-        encoding = encoding or detect_encoding(spark, path)
-        sep, headers = detect_layout(spark, path, encoding, sep)
+        sep, headers = detect_layout(spark, path, sep)
         if not headers:
             return spark.createDataFrame([], "row_idx bigint")
         # Columns are read by position: Spark would rename repeated and blank headers.
-        raw = (
-            spark.read.schema(", ".join(f"c{i} string" for i in range(len(headers))))
-            .option("header", True).option("sep", sep)
-            .option("encoding", encoding).option("mode", "PERMISSIVE").option("escape", '"')
-            .option("multiLine", multi_line).csv(path)
-        )
-        headers = [*headers, "_row_idx"]
-    elif fmt in ("json", "parquet"):
-        raw = spark.read.format(fmt).load(path)
-    else:
+        names = [f"c{i}" for i in range(len(headers))]
+        cells = F.from_csv("text", ", ".join(f"{c} string" for c in names), {"sep": sep, "escape": '"', "mode": "PERMISSIVE"})
+        rows = records(spark, path, sep).where("place > 0").select("row_idx", cells.alias("_cells"))
+        return clean_cells(rows.select(*[F.col("_cells")[c].alias(c) for c in names], "row_idx"),
+                           ["row_idx"], [*headers, "row_idx"])
+    if fmt not in ("json", "parquet"):
         raise ValueError(f"unsupported format: {fmt}")
-    return clean_cells(with_row_idx(raw, "_row_idx"), ["_row_idx"], headers).withColumnRenamed(
-        "_row_idx", "row_idx")
+    raw = spark.read.format(fmt).load(path)
+    return clean_cells(with_row_idx(raw, "_row_idx"), ["_row_idx"]).withColumnRenamed("_row_idx", "row_idx")
 
 
 def job_scan(table: DataFrame, job_id: str) -> DataFrame:
