@@ -114,7 +114,7 @@ def csv_multiline(spark, d):
     path = _fresh_folder(spark, "csv")
     parts = pc.table(spark, d, "part").orderBy("p_partkey").selectExpr(
         "p_partkey", "concat(p_name, '\\n\"', p_type, '\",\\n\\n', p_brand) AS remark",
-        "CASE WHEN p_partkey % 3 = 0 THEN concat(p_container, '\\nloose') ELSE p_container END AS container", "p_size")
+        "CASE WHEN p_partkey % 3 = 0 THEN concat(p_type, '\\nloose') ELSE p_type END AS kind", "p_size")
     sinks.write_csv(parts, path)
     return catalog.read_catalog(spark, path, "csv").withColumn("p_size", F.col("p_size").cast("int"))
 
