@@ -2,7 +2,7 @@
 
 Training counts the byte trigrams of the folded texts by language, over all training rows; a language's
 filter holds the trigrams whose share in it is at least ``SHARE`` of their share in the language that
-uses them most, and which are not rare there. The filters are slices of one table: cell ``h`` holds
+uses them most, and which is not below ``RATE`` of all its trigrams. The filters are slices of one table: cell ``h`` holds
 one bit per language, so the AND of ``PROBES`` cells answers for all languages at once. A document's
 trigrams are looked up together; for each language the set bits are counted, the filter's measured
 rate of false positives is taken out, and the language with the most wins.
@@ -11,13 +11,12 @@ The table has a fixed size and is all that the driver gets; the counts that make
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without training rows all
 others are ``und`` too; ties go to the name that sorts first; repeated rows count and are judged each;
-at most ``MOST`` languages are told apart (the most frequent, then by name); an empty table gives no
-rows.
+a letter is a character of one of Unicode's letter categories; all languages named are told apart, at
+8 MB of the table for each 64 of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +29,12 @@ from tidyshelf.llm import frames
 from tidyshelf.session import cut
 
 NONE = "und"
-MOST = 64
-#: Cells of the table (a power of two), probes of an n-gram, least relative share, least count.
-CELLS, PROBES, SHARE, COUNT = 1 << 20, 2, 0.25, 3
+#: Cells of the table (a power of two), probes of an n-gram, least share of the n-gram in a language: of
+#: the highest share in any language, and of all its n-grams.
+CELLS, PROBES, SHARE, RATE = 1 << 20, 2, 0.25, 1e-7
+#: Languages of one word of a cell; a cell has as many words as the languages need.
+WORD = 64
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_LETTER = re.compile(r"[^\W\d_]")
 
 #: A-Z become a-z, all other ASCII but a-z becomes a blank, bytes of other scripts stay.
 _FOLD = np.array([c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
@@ -64,21 +64,21 @@ def cells(codes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """``table`` has a bit per language in each cell; ``false`` is each filter's false-positive rate."""
+    """``table`` has a bit per language in each cell, in rows of ``WORD`` languages; ``false`` is each
+    filter's false-positive rate."""
 
     names: list[str]
     table: np.ndarray
     false: np.ndarray
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
+    def masks(self, codes: np.ndarray) -> list[np.ndarray]:
         first, second = cells(codes)
-        return self.table[first] & self.table[second]
+        return [word[first] & word[second] for word in self.table]
 
 
 def build(names: list[str], table: np.ndarray) -> Filters:
     """Filters out of the table, with their false-positive rates."""
-    bits = np.arange(len(names), dtype=np.uint64)
-    filled = np.array([(table >> b & np.uint64(1)).mean() for b in bits])
+    filled = np.array([(table[b // WORD] >> np.uint64(b % WORD) & np.uint64(1)).mean() for b in range(len(names))])
     return Filters(names, table, filled ** PROBES)
 
 
@@ -112,28 +112,29 @@ def fit(docs: DataFrame) -> Filters:
 
     sums = known.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(
         count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sums = cut(sums.where(F.col("n") >= COUNT))
-    totals = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "lang").limit(MOST).collect()}
+    sums = cut(sums)
+    totals = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
-    table = np.zeros(CELLS, np.uint64)
+    table = np.zeros((-(-len(names) // WORD), CELLS), np.uint64)
     if names:
         bits = sums.sparkSession.createDataFrame(
-            [(name, totals[name], 1 << bit if bit < 63 else -1 << 63) for bit, name in enumerate(names)],
-            "lang string, total long, mask long")
+            [(name, totals[name], k // WORD, 1 << k % WORD if k % WORD < 63 else -1 << 63) for k, name in enumerate(names)],
+            "lang string, total long, word int, mask long")
         share = F.col("n") / F.col("total")
-        kept = sums.join(F.broadcast(bits), "lang").select("gram", "mask", share.alias("share")).withColumn(
-            "top", F.max("share").over(W.partitionBy("gram"))).where(F.col("share") >= SHARE * F.col("top"))
+        kept = sums.join(F.broadcast(bits), "lang").select("gram", "word", "mask", share.alias("share")).withColumn(
+            "top", F.max("share").over(W.partitionBy("gram"))).where(
+            (F.col("share") >= SHARE * F.col("top")) & (F.col("share") >= RATE))
 
         def place(batches):
             for batch in batches:
                 codes = batch.column("gram").to_numpy(zero_copy_only=False)
                 for at in cells(codes):
-                    yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("mask")], ["cell", "mask"])
+                    yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(at), batch.column("mask")],
+                                                     ["word", "cell", "mask"])
 
-        filled = kept.select("gram", "mask").mapInArrow(place, "cell long, mask long").groupBy("cell").agg(
-            F.bit_or("mask").alias("mask")).toPandas()
-        table[filled["cell"]] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+        filled = kept.select("word", "gram", "mask").mapInArrow(place, "word int, cell long, mask long").groupBy(
+            "word", "cell").agg(F.bit_or("mask").alias("mask")).toPandas()
+        table[filled["word"], filled["cell"]] = filled["mask"].to_numpy(np.int64).view(np.uint64)
     return build(names, table)
 
 
@@ -152,13 +153,13 @@ def language_id(docs: DataFrame, filters: Filters) -> DataFrame:
             total = np.bincount(owner, minlength=n)
             fit_ = np.zeros((len(model.names), n))
             for bit, rate in enumerate(model.false):
-                hits = np.bincount(owner, (masks >> np.uint64(bit) & np.uint64(1)).astype(float), n)
+                hits = np.bincount(owner, (masks[bit // WORD] >> np.uint64(bit % WORD) & np.uint64(1)).astype(float), n)
                 fit_[bit] = np.maximum(0, (hits - rate * total) / (1 - rate))
             whole = fit_.sum(axis=0)
             best = fit_.argmax(axis=0) if len(model.names) else np.zeros(n, np.int64)
             share = np.divide(fit_.max(axis=0), whole, out=np.zeros(n), where=whole > 0) \
                 if len(model.names) else np.zeros(n)
-            letters = np.fromiter((bool(t and _LETTER.search(t))
+            letters = np.fromiter((any(map(str.isalpha, t or ""))
                                    for t in part.column("text").to_pylist()), bool, n)
             best = np.where(letters, best, len(model.names))
             yield pa.RecordBatch.from_arrays(
