@@ -274,6 +274,19 @@ def dataset_fingerprint(spark, d):
     return mapping.fingerprint(customers)
 
 
+_WHOLE_FP = sorted((c for c in pc.COLUMNS if c != "Supplier"), key=str.lower)
+
+
+@_query("catalogue_fingerprints", tw.over("norm", f"""
+SELECT Supplier, count(*) AS row_count, sha256('{"::".join(c.lower() for c in _WHOLE_FP)}:' || count(*) || {
+    " || ':' || ".join(f"':' || sum(('0x' || h[{1 + 15 * k}:{15 + 15 * k}])::hugeint)::hugeint" if not k else
+                       f"sum(('0x' || h[{1 + 15 * k}:{15 + 15 * k}])::hugeint)::hugeint" for k in range(4))}) AS fingerprint
+FROM (SELECT Supplier, sha256({" || ".join(f"length({c}) || ':' || {c}" for c in _WHOLE_FP)}) AS h FROM raw) GROUP BY Supplier"""))
+def catalogue_fingerprints(spark, d):
+    """Whole-table fingerprint of each supplier's rows."""
+    return mapping.whole_fingerprint(pc.raw(spark, d), by="Supplier")
+
+
 # -- normalisation ------------------------------------------------------------------------
 
 _NORM_FIELDS = ["row_idx", *TEXT_FIELDS, "price"]
@@ -1261,6 +1274,11 @@ def windowed_events_stream(spark, d):
 
 # -- text corpora --------------------------------------------------------------------------------
 
+#: Without one of these the queries over text corpora are left out, and no others.
+_OPTIONAL = ("tidyshelf.llm", "tidyshelf.llm.queries", "corpus_pipeline", "xxhash", "zstandard", "tiktoken",
+             "tokenizers", "public_tokenizers")
+
+
 def _corpus_part(kind: str) -> dict:
     """What the optional modules for text corpora add; nothing where they are not installed."""
     added = {}
@@ -1268,7 +1286,7 @@ def _corpus_part(kind: str) -> dict:
         try:
             added |= getattr(importlib.import_module(module), kind)()
         except ModuleNotFoundError as missing:
-            if missing.name not in ("tidyshelf.llm", "tidyshelf.llm.queries", "corpus_pipeline"):
+            if missing.name not in _OPTIONAL:
                 raise
     return added
 

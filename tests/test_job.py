@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tests.check_twins import compare, connect
 from tests.test_duplicates import greedy
 from tidyshelf import fixed_values as fv
-from tidyshelf.operators import duplicates, grid
+from tidyshelf.operators import duplicates, grid, mapping
 from tidyshelf.plans import part_catalog, pipeline
 from tidyshelf.sources import catalog, sinks
 from tidyshelf.sources.generate import COLUMNS, generate_catalog
@@ -113,6 +113,20 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("windows").collect()) == sorted(batch.collect())
 
 
+def test_whole_fingerprint_is_of_the_multiset_of_rows(spark):
+    def of(rows):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx long, a string, b string")
+        return tuple(mapping.whole_fingerprint(df).first())
+
+    rows = [(f"x{i % 40}", f"y{i}") for i in range(100)]
+    base = of(rows)
+    assert of(rows[::-1]) == base
+    changed = [rows[:-1], [*rows, rows[3]], [*rows[:50], ("x", "y"), *rows[51:]], [(b, a) for a, b in rows],
+               [(a + b[:1], b[1:]) for a, b in rows]]
+    assert len({base, *map(of, changed)}) == 1 + len(changed)
+    assert of([]) != of([("", "")])
+
+
 def test_latest_state_of_each_key(spark):
     rows = [(1, "a", 5, 0), (1, "a", 7, 2), (2, "a", 1, 1), (1, "b", None, 0)]
     landed = spark.createDataFrame(rows, "window int, key string, n int, batch_id long")
@@ -128,7 +142,7 @@ def test_whole_job_follows_the_greedy_rule(spark):
     assert {k: v for k, v in got.items() if v is not None} == greedy(rows, duplicates.THRESHOLD)
 
 
-QUICK = ["csv_roundtrip", "csv_multiline", "csv_mixed_encodings", "name_clusters", "name_cluster_members",
+QUICK = ["csv_roundtrip", "csv_multiline", "csv_mixed_encodings", "catalogue_fingerprints", "name_clusters", "name_cluster_members",
          "name_cluster_groups", "table_roundtrip", "windowed_events_stream", "conflict_export",
          "normalized_products", "validation_issues", "model_clusters", "conflicts", "row_scores",
          "catalog_export", "job_progress", "products_after_resolution"]

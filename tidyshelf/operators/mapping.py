@@ -287,3 +287,27 @@ def fingerprint(df: DataFrame, row_idx: str = "row_idx",
     names = "::".join(c.strip().lower() for c in ordered)
     return lines.select(F.sha2(F.concat(F.lit(names + "___"), F.array_join("lines", "###")), 256)
                         .alias("fingerprint"))
+
+
+def whole_fingerprint(df: DataFrame, row_idx: str = "row_idx", columns: list[str] | None = None,
+                      by: str | None = None) -> DataFrame:
+    """(row_count, fingerprint) of all rows and whole cells, in any order of rows; per value of ``by``, such as the
+    file a row is from, if given.
+
+    Each row's digest is cut into four numbers, and the sums of these over all rows stand for the multiset
+    of rows: a changed, added or repeated row changes them, another order does not, and sums of parts
+    add up. One pass, one row per task and group is shuffled.
+    """
+    columns = columns or [c for c in df.columns if c not in (row_idx, by)]
+    ordered = sorted(columns, key=lambda c: c.strip().lower())
+    cells = [F.coalesce(quoted(c).cast("string"), F.lit("")) for c in ordered]
+    # With its length before it, no cell can be taken for parts of two.
+    line = F.concat(*[x for c in cells for x in (F.length(c).cast("string"), F.lit(":"), c)])
+    hashed = df.select(*([quoted(by).alias(by)] if by else []), F.sha2(line, 256).alias("_digest"))
+    parts = [F.sum(F.conv(F.substring("_digest", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"_{k}")
+             for k in range(4)]
+    sums = hashed.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("row_count"), *parts)
+    names = "::".join(c.strip().lower() for c in ordered)
+    return sums.select(*([by] if by else []), "row_count", F.sha2(F.concat_ws(
+        ":", F.lit(names), "row_count", *[F.coalesce(F.col(f"_{k}"), F.lit(0)).cast("decimal(38,0)").cast("string")
+                                          for k in range(4)]), 256).alias("fingerprint"))
