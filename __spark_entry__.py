@@ -23,7 +23,7 @@ from tidyshelf.plans import pipeline
 from tidyshelf.plans import twins as tw
 from tidyshelf.session import use_checkpoint_dir
 from tidyshelf.sources import catalog, sinks
-from tidyshelf.streaming import progress
+from tidyshelf.streaming import clusters, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -496,6 +496,20 @@ def name_clusters(spark, d):
     return pc.name_clusters(spark, d)
 
 
+_FEED_BATCHES = 3
+
+
+@_query("feed_clusters", tw.over("name_clusters", "SELECT row_idx, centre FROM clusters"))
+def feed_clusters(spark, d):
+    """The same clusters from a feed of batches, each against the stored centres; the last is sent twice."""
+    rows = pc.products(spark, d)
+    last = rows.agg(F.max("row_idx")).first()[0] or 0
+    state, step = _fresh_folder(spark, "clusters"), last // _FEED_BATCHES + 1
+    for batch in [*range(_FEED_BATCHES), _FEED_BATCHES - 1]:
+        clusters.add_batch(rows.where(F.floor(F.col("row_idx") / step) == batch), state, batch)
+    return clusters.clusters(spark, state)
+
+
 @_query("name_cluster_members", tw.over("name_clusters", """
 SELECT centre, row_idx, product_id, product_name, similarity, specs_summary FROM items"""))
 def name_cluster_members(spark, d):

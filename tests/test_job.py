@@ -142,7 +142,7 @@ def test_whole_job_follows_the_greedy_rule(spark):
     assert {k: v for k, v in got.items() if v is not None} == greedy(rows, duplicates.THRESHOLD)
 
 
-QUICK = ["csv_roundtrip", "csv_multiline", "csv_mixed_encodings", "catalogue_fingerprints", "name_clusters", "name_cluster_members",
+QUICK = ["feed_clusters", "csv_roundtrip", "csv_multiline", "csv_mixed_encodings", "catalogue_fingerprints", "name_clusters", "name_cluster_members",
          "name_cluster_groups", "table_roundtrip", "windowed_events_stream", "conflict_export",
          "normalized_products", "validation_issues", "model_clusters", "conflicts", "row_scores",
          "catalog_export", "job_progress", "products_after_resolution"]

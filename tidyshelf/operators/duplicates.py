@@ -130,20 +130,25 @@ def reaching(pairs: DataFrame, floor: float) -> DataFrame:
     return pairs.where(possible(floor)).where(F.coalesce(_rule() >= floor, named))
 
 
-def _side(df: DataFrame, s: str, *extra: str) -> DataFrame:
+def side(df: DataFrame, s: str, *extra: str) -> DataFrame:
     return df.select(*extra, F.col("node").alias(f"{s}_node"), *[F.col(k).alias(f"{s}_{k}") for k in KEYS],
                      *[F.col(k).alias(f"{s}_{k}") for k in COUNTS if k in df.columns])
 
 
 # -- clustering --------------------------------------------------------------------
 
-def _open_nodes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block membership of nodes that share a block, node of each key set)."""
-    nodes = keyed.groupBy(*KEYS).agg(F.min("row_idx").alias("node"))
+def place(nodes: DataFrame) -> DataFrame:
+    """(block, node, keys, counts), one row per block of each node that can be compared at all."""
     first, second = sim.letter_bits(F.col("ts"))
-    placed = nodes.where((F.col("mk") != "") | (F.col("nm") != "")).select(
+    return nodes.where((F.col("mk") != "") | (F.col("nm") != "")).select(
         "node", *KEYS, F.length("ts").alias("ln"), first.alias("b0"), second.alias("b1"),
         F.explode_outer(block_keys(F.col("bk"), F.col("ck"), F.col("mk"))).alias("block"))
+
+
+def _open_nodes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block membership of nodes that share a block, node of each key set)."""
+    nodes = keyed.groupBy(*KEYS).agg(F.min("row_idx").alias("node"))
+    placed = place(nodes)
     sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = placed.join(sizes, "block").select(
         "block", "node", *KEYS, *COUNTS,
@@ -191,7 +196,7 @@ def _centres(member: DataFrame, batch: int, floor: float) -> DataFrame:
         right = head.withColumn("j", F.col("chunk")).withColumn(
             "i", F.explode(F.sequence(F.lit(0), F.col("chunk"))))
         on = ["block", "i", "j"]
-    pairs = _side(left, "a", *on).join(_side(right, "b", *on), on).where("a_node < b_node")
+    pairs = side(left, "a", *on).join(side(right, "b", *on), on).where("a_node < b_node")
     beaten = reaching(pairs, floor).select(F.col("b_node").alias("node")).distinct()
     return ready.join(beaten, "node", "left_anti")
 
@@ -204,8 +209,8 @@ def _hits(member: DataFrame, centres: DataFrame, floor: float) -> DataFrame:
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     )
     pairs = (
-        _side(spread, "a", "block", "shard")
-        .join(_side(live, "b", "block", "shard", "centre"), ["block", "shard"])
+        side(spread, "a", "block", "shard")
+        .join(side(live, "b", "block", "shard", "centre"), ["block", "shard"])
         .where("a_node < b_node and (centre is null or a_node < centre)")
     )
     return (
@@ -221,7 +226,11 @@ def cluster(products: DataFrame, threshold: float = THRESHOLD, batch: int = 8) -
     order and a single neighbourhood per row over both its blocks, so the result
     does not depend on the order in which blocks are visited.
     """
-    keyed = cut(with_keys(products))
+    return cluster_keys(cut(with_keys(products)), threshold, batch)
+
+
+def cluster_keys(keyed: DataFrame, threshold: float = THRESHOLD, batch: int = 8) -> DataFrame:
+    """``cluster`` of rows whose keys (``with_keys``) are stored already."""
     member, nodes = _open_nodes(keyed)
     member = cut(member)
     found: list[DataFrame] = []
@@ -280,7 +289,7 @@ def duplicate_items(products: DataFrame, clusters: DataFrame) -> DataFrame:
     detail = products.select("row_idx", *MEMBER_FIELDS)
     keyed = clusters.join(with_keys(products), "row_idx").withColumnRenamed("row_idx", "node")
     heads = keyed.where("node = centre")
-    pairs = _side(heads, "a", "centre").join(_side(keyed, "b", "centre"), "centre")
+    pairs = side(heads, "a", "centre").join(side(keyed, "b", "centre"), "centre")
     scored = score_pairs(pairs).select(
         "centre", F.col("b_node").alias("row_idx"),
         F.when(F.col("a_node") == F.col("b_node"), F.lit(1.0))

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidyshelf.operators import score, validate
 from tidyshelf.operators.normalize import normalize
 from tidyshelf.sources.catalog import number_splits
+from tidyshelf.streaming import clusters
 
 #: Row numbers set aside for each batch.
 BATCH_ROWS = 1 << 40
@@ -35,7 +36,7 @@ def clean_feed(raw: DataFrame, batch_id: int, mapping: dict[str, str] | None = N
 
     ``row_idx`` is the place of a row among its batch's files after ``batch_id * BATCH_ROWS``: equal lines
     stay apart, and a replay, which reads the same files, gives the same numbers. Scores here have no
-    conflict part: duplicates and conflicts are found in batch over the landed table.
+    conflict part; duplicates across batches are found by ``start_feed(state=...)``.
     """
     placed = raw.withColumnsRenamed({"feed_at": "_at"}).withColumn("_path", F.col("feed_file")).withColumn(
         "_id", F.monotonically_increasing_id())
@@ -45,13 +46,20 @@ def clean_feed(raw: DataFrame, batch_id: int, mapping: dict[str, str] | None = N
 
 
 def start_feed(raw: DataFrame, target: str, checkpoint: str, mapping: dict[str, str] | None = None,
-               available_now: bool = True) -> StreamingQuery:
-    """Cleans and writes each micro-batch into its own partition, so a replay replaces it."""
+               available_now: bool = True, state: str | None = None) -> StreamingQuery:
+    """Cleans and writes each micro-batch into its own partition, so a replay replaces it.
+
+    With a folder for ``state`` each batch's rows are clustered with those of all batches before it:
+    ``clusters.clusters`` and ``clusters.touched`` read the result.
+    """
 
     def land(batch: DataFrame, batch_id: int) -> None:
         (clean_feed(batch, batch_id, mapping).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite")
          .partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(target))
+        if state:
+            landed = batch.sparkSession.read.parquet(target).where(F.col("batch_id") == batch_id)
+            clusters.add_batch(landed, state, batch_id)
 
     writer = raw.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now
