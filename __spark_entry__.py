@@ -23,7 +23,7 @@ from tidyshelf.plans import pipeline
 from tidyshelf.plans import twins as tw
 from tidyshelf.session import use_checkpoint_dir
 from tidyshelf.sources import catalog, sinks
-from tidyshelf.streaming import clusters, progress
+from tidyshelf.streaming import clusters, progress, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1286,6 +1286,55 @@ def windowed_events_stream(spark, d):
         "window_start", F.col("window_start").cast("timestamp_ntz")).drop("window_end")
 
 
+# Runs of a job end with a purchase or an error, or by twelve hours of silence.
+_ENDS = ["purchase", "error"]
+_PATIENCE, _LATE = 43_200, 21_600
+
+
+def _runs_sql(upto: str) -> str:
+    return f"""
+WITH e AS (SELECT user_id AS job_id, epoch_us(ts) AS us, ts, event_id, event_type, {upto} AS upto FROM events),
+f AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {_PATIENCE * 1_000_000}
+    AND lag(event_type) OVER w NOT IN ('purchase', 'error') THEN 0 ELSE 1 END AS begins
+  FROM e WHERE us <= upto WINDOW w AS (PARTITION BY job_id ORDER BY us, event_id)),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY job_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT job_id, min(ts) AS started, max(ts) AS updated, count(*) AS event_count, max(event_id) AS processed,
+  max(CASE WHEN event_type IN ('purchase', 'error') THEN event_type END) AS ended_by,
+  CASE WHEN max(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END) = 1 THEN 'finished'
+    WHEN max(us) + {_PATIENCE * 1_000_000} < max(upto) THEN 'stalled' ELSE 'open' END AS status
+FROM n GROUP BY job_id, run"""
+
+
+def _local_times(df):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "updated")})
+
+
+@_query("job_runs", _runs_sql("(SELECT epoch_us(max(ts)) FROM events)"))
+def job_runs(spark, d):
+    return _local_times(runs.runs(_event_feed(spark, d), terminal=_ENDS, patience=_PATIENCE))
+
+
+@_query("job_runs_stream", "SELECT * FROM (" + _runs_sql(
+    f"(SELECT (epoch_us(max(ts)) // 1000 - {_LATE * 1000}) * 1000 - 1 FROM events)") + ") WHERE status <> 'open'")
+def job_runs_stream(spark, d):
+    """Finished and stalled runs by keyed state with timers; every second event near a file's end comes a file late."""
+    events = pc.table(spark, d, "events")
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
+                             F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at, step = F.unix_micros(F.col("ts").cast("timestamp")) - (first or 0), ((last or 0) - (first or 0)) // 3 + 1
+    delayed = (F.col("event_id") % 2 == 0) & (F.pmod(at, F.lit(step)) >= step - _LATE * 1_000_000 // 2)
+    part = F.floor(at / step) + F.when(delayed & (at < 2 * step), 1).otherwise(0)
+    base = _fresh_folder(spark, "runs")
+    for k in range(3):
+        events.where(part == k).coalesce(1).write.parquet(f"{base}/in/{k}")
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    found = runs.watch(feed.withColumn("processed", F.col("event_id")), f"{_LATE} seconds", job="user_id",
+                       event="event_type", terminal=_ENDS, patience=_PATIENCE)
+    found.writeStream.format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return _local_times(spark.read.schema(found.schema).parquet(f"{base}/out"))
+
+
 # -- text corpora --------------------------------------------------------------------------------
 
 #: Without one of these the queries over text corpora are left out, and no others.
