@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidyshelf import fixed_values as fv
 from tidyshelf.functions import text, units
 from tidyshelf.operators import (conflicts, detail, duplicates, enrich, gaps, grid, mapping,
-                                 reports, score, validate)
+                                 profile, reports, score, validate)
 from tidyshelf.operators.normalize import TEXT_FIELDS, product_attributes
 from tidyshelf.plans import part_catalog as pc
 from tidyshelf.plans import pipeline
@@ -211,6 +211,34 @@ def column_types(spark, d):
         F.col("sample_count").cast("bigint").alias("sample_count"), "inferred_type")
 
 
+_COUNTED = {
+    "address": "starts_with(v, 'http://') OR starts_with(v, 'https://') OR contains(v, 'www.')",
+    "number_with_unit": f"regexp_matches(v, '{mapping.NUMBER_WITH_UNIT}')", "currency": "regexp_matches(v, '[$€£]')",
+    "link": "starts_with(v, 'http://') OR starts_with(v, 'https://')", "pdf": "contains(v, '.pdf')",
+    "short": "length(v) < 30", "numeric": f"regexp_matches(v, '{mapping.NUMBER}')",
+    "voltage": f"regexp_matches(v, '{mapping.VOLTAGE}')", "power": f"regexp_matches(v, '{mapping.POWER_HEADER}')",
+    "power_unit": f"regexp_matches(v, '{mapping.POWER_CHECK}')",
+    "weight": f"regexp_matches(v, '{mapping.WEIGHT_HEADER}')",
+    "weight_unit": f"regexp_matches(v, '{mapping.WEIGHT_CHECK}')", "ip_code": f"regexp_matches(v, '{mapping.IP_CODE}')"}
+
+
+@_query("column_profile_whole", f"WITH {tw.RAW}, " + _PROFILE.format(cells=_unpivot(
+    "raw", "row_idx", _CATALOG_COLUMNS)).replace("WITH cells", "cells", 1) + """,
+shown AS (SELECT position, string_agg(v, ' | ' ORDER BY rank) AS samples FROM ranked WHERE rank <= 15 GROUP BY 1),
+n AS (SELECT position, col, count(v) FILTER (ok) AS n_values, """ + ", ".join(
+    f'count(*) FILTER (ok AND ({test})) AS "{name}"' for name, test in _COUNTED.items()) + f"""
+  FROM (SELECT *, v <> '' AND lower(v) NOT IN {tw._in(fv.BLANK_WORDS)} AS ok FROM cells) GROUP BY 1, 2)
+SELECT n.* EXCLUDE (col), col AS column_name, coalesce(samples, '') AS samples,
+  CASE WHEN address / greatest(n_values, 1) >= 0.5 THEN 'url'
+    WHEN number_with_unit / greatest(n_values, 1) >= 0.8 THEN 'number' ELSE 'string' END AS inferred_type
+FROM n LEFT JOIN shown USING (position)""")
+def column_profile_whole(spark, d):
+    """Counts over all values of each column, its first values and the type that all of them give."""
+    return profile.whole_profile(pc.raw(spark, d)).select(
+        "position", F.col("column").alias("column_name"), "n_values", *_COUNTED,
+        F.array_join("samples", " | ").alias("samples"), "inferred_type")
+
+
 _ALIASES = ", ".join(
     f"({i}, {tw.quote(f)}, {tw.quote(a)}, {str(k == 0).lower()})"
     for i, (f, k, a) in enumerate(
@@ -255,6 +283,14 @@ def mapping_report(spark, d):
         F.to_json("alternatives").alias("alternatives"))
 
 
+@_query("mapping_report_whole")
+def mapping_report_whole(spark, d):
+    """The mapping that all values of all rows give."""
+    return mapping.analyze(pc.raw(spark, d), whole=True).select(
+        "position", "original_column", "canonical_field", "canonical_label", "data_type",
+        "confidence", "confidence_level", "evidence")
+
+
 @_query("mapping_summary")
 def mapping_summary(spark, d):
     return mapping.summary(mapping.analyze(pc.raw(spark, d), sample_rows=None))

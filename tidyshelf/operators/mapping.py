@@ -150,31 +150,49 @@ def _all_numeric(samples: Column) -> Column:
     return F.forall(_head(samples), lambda s: s.rlike(NUMBER))
 
 
-def sample_override(header: Column, match: Column, samples: Column) -> Column:
-    """Guess after looking at the samples; exact header hits are final."""
+class Samples:
+    """What the rules ask of a column, answered by some of its values."""
+
+    def __init__(self, samples: Column):
+        self.samples = samples
+        self.some = F.size(samples) > 0
+        self.all_short, self.all_numeric = _all_short(samples), _all_numeric(samples)
+        self.currency = _any(samples, "[$€£]")
+        self.link = F.exists(samples, lambda s: s.startswith("http://") | s.startswith("https://"))
+        self.pdf = F.exists(samples, lambda s: s.contains(".pdf"))
+
+    def any(self, pattern: str) -> Column:
+        return _any(self.samples, pattern)
+
+
+def sample_override(header: Column, match: Column, seen) -> Column:
+    """Guess after looking at the values; exact header hits are final. ``seen`` is an array of samples, or
+    ``Samples`` or ``profile.Counts``."""
+    seen = Samples(seen) if isinstance(seen, Column) else seen
+    samples = seen.samples
     field, confidence = match["field"], match["confidence"]
     exact = confidence >= 0.98
     settled = field.isin(TEXT_FIELDS) & (confidence >= 0.85)
-    look = (F.size(samples) > 0) & ~settled
-    short = look & _all_short(samples)
-    document = header.rlike("doc|pdf|spec") | F.exists(samples, lambda s: s.contains(".pdf"))
-    link = F.exists(samples, lambda s: s.startswith("http://") | s.startswith("https://"))
+    look = seen.some & ~settled
+    short = look & seen.all_short
+    document = header.rlike("doc|pdf|spec") | seen.pdf
+    link = seen.link
     return (
         F.when(exact, match)
-        .when(look & _any(samples, "[$€£]"), _guess(
+        .when(look & seen.currency, _guess(
             "price", 0.95, "Sample values contain currency symbols and numeric values"))
         .when(look & link & document, _guess(
             "technical_document", 0.96, "Sample values are PDF / technical documentation URLs"))
         .when(look & link, _guess("product_url", 0.95, "Sample values are web product URLs"))
-        .when(short & _any(samples, VOLTAGE), _guess(
+        .when(short & seen.any(VOLTAGE), _guess(
             "voltage", 0.96, "Sample values contain standardized voltage units (V/VAC/VDC)"))
-        .when(short & _any(samples, POWER_HEADER), _guess(
+        .when(short & seen.any(POWER_HEADER), _guess(
             "power", 0.96, "Sample values contain standardized power units (kW/HP/W/kVA)"))
-        .when(short & _any(samples, WEIGHT_HEADER), _guess(
+        .when(short & seen.any(WEIGHT_HEADER), _guess(
             "weight", 0.96, "Sample values contain standardized weight/mass units (kg/lbs)"))
-        .when(short & _any(samples, IP_CODE), _guess(
+        .when(short & seen.any(IP_CODE), _guess(
             "ip_rating", 0.97, "Sample values contain standardized Ingress Protection (IP) ratings"))
-        .when(look & _all_numeric(samples) & field.isin(NOT_NUMERIC), _guess(
+        .when(look & seen.all_numeric & field.isin(NOT_NUMERIC), _guess(
             fv.LEFTOVERS, 0.60, F.concat(F.lit("Sample values are numeric ("),
                                          F.get(samples, F.lit(0)),
                                          F.lit("), contradicting text field interpretation"))))
@@ -184,29 +202,29 @@ def sample_override(header: Column, match: Column, samples: Column) -> Column:
         .otherwise(match))
 
 
-def cross_check(guess: Column, samples: Column) -> Column:
-    """Last check of a guess (from any origin) against the samples."""
-    field = guess["field"]
-    some = F.size(samples) > 0
+def cross_check(guess: Column, seen) -> Column:
+    """Last check of a guess (from any origin) against the values."""
+    seen = Samples(seen) if isinstance(seen, Column) else seen
+    field, samples, some = guess["field"], seen.samples, seen.some
     text_field = field.isin(TEXT_FIELDS)
-    short = some & ~text_field & _all_short(samples)
+    short = some & ~text_field & seen.all_short
     shown = F.concat_ws(", ", F.slice(samples, 1, 3))
     clamped = _guess(field, F.least(F.lit(1.0), F.greatest(F.lit(0.0), guess["confidence"])),
                      guess["evidence"])
     return (
         F.when(~some, guess)
-        .when(_all_numeric(samples) & field.isin(NOT_NUMERIC_CHECK), _guess(
+        .when(seen.all_numeric & field.isin(NOT_NUMERIC_CHECK), _guess(
             fv.LEFTOVERS, 0.65, F.concat(
                 F.lit("AI suggested '"), field,
                 F.lit("' but sample values are purely numeric ("), shown,
                 F.lit("). Classified as additional attribute."))))
         .when(text_field, guess)
-        .when(short & _any(samples, VOLTAGE) & (field != "voltage"), _guess(
+        .when(short & seen.any(VOLTAGE) & (field != "voltage"), _guess(
             "voltage", 0.95,
             "Sample values exhibit voltage electrical specifications (V/VAC/VDC)."))
-        .when(short & _any(samples, POWER_CHECK) & (field != "power"), _guess(
+        .when(short & seen.any(POWER_CHECK) & (field != "power"), _guess(
             "power", 0.95, "Sample values exhibit power specifications (kW/HP/W)."))
-        .when(short & _any(samples, WEIGHT_CHECK) & (field != "weight"), _guess(
+        .when(short & seen.any(WEIGHT_CHECK) & (field != "weight"), _guess(
             "weight", 0.95, "Sample values exhibit weight units (kg/lbs)."))
         .otherwise(clamped))
 
@@ -233,15 +251,23 @@ def tier(confidence: Column) -> Column:
 
 
 def analyze(df: DataFrame, row_idx: str = "row_idx", sample_rows: int | None = 20,
-            columns: list[str] | None = None) -> DataFrame:
-    """Mapping report: one row per column of the catalogue."""
+            columns: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """Mapping report: one row per column of the catalogue.
+
+    With ``whole`` types, units and the like are judged on all values of all rows, else on the first 15 of
+    ``sample_rows`` rows.
+    """
     labels = F.create_map(*[F.lit(x) for k, v in fv.CANONICAL_FIELDS.items() for x in (k, v[0])])
-    base = profile(df, row_idx, 15, sample_rows, columns).withColumn(
-        "header", normal_header(F.col("column")))
+    if whole:
+        from tidyshelf.operators import profile as profiles
+        base, seen = profiles.whole_profile(df, row_idx, columns), profiles.Counts(F.col("samples"))
+    else:
+        base, seen = profile(df, row_idx, 15, sample_rows, columns), Samples(F.col("samples"))
+    base = base.withColumn("header", normal_header(F.col("column")))
     matched = base.withColumn("match", header_match(F.col("header")))
     guessed = matched.withColumn("guess", sample_override(
-        F.col("header"), F.col("match"), F.col("samples")))
-    final = guessed.withColumn("final", cross_check(F.col("guess"), F.col("samples")))
+        F.col("header"), F.col("match"), seen))
+    final = guessed.withColumn("final", cross_check(F.col("guess"), seen))
     return final.select(
         "position", F.col("column").alias("original_column"),
         F.col("final.field").alias("canonical_field"),

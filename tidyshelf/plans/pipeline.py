@@ -72,7 +72,7 @@ def process_file(spark: SparkSession, path: str, root: str, job_id: str,
     """
     started = time.time()
     raw = cut(catalog.read_catalog(spark, path))
-    mapping_used = schema_mapping or mapping.mapping_of(mapping.analyze(raw, sample_rows=None))
+    mapping_used = schema_mapping or mapping.mapping_of(mapping.analyze(raw, whole=True))
     save(run(raw, mapping_used, **options), root, job_id)
     stats = job_stats(spark, root, job_id).first().asDict()
     seconds = round(time.time() - started, 2)
