@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidyshelf import fixed_values as fv
 from tidyshelf.functions import text, units
 from tidyshelf.operators import (conflicts, detail, duplicates, enrich, gaps, grid, mapping,
-                                 profile, reports, score, validate)
+                                 pages, profile, reports, score, search_index, validate)
 from tidyshelf.operators.normalize import TEXT_FIELDS, product_attributes
 from tidyshelf.plans import part_catalog as pc
 from tidyshelf.plans import pipeline
@@ -888,6 +888,41 @@ def product_search(spark, d):
     return grid.search(pc.scored(spark, d), "Blue_R").select(*_GRID)
 
 
+#: Plain, with wildcards, too short for the index, frequent, without a hit, with a sign that SQL patterns escape by.
+_TERMS = ["Blue_R", "steel", "SIEMENS", "e%brass", "-4", "%", "a", "PID-1000", "no such thing", "50\\", "rand#1", "promo *"]
+_SEARCHED_SQL = " OR ".join(f"{c} ILIKE pattern" for c in grid.SEARCHED)
+
+
+@_query("indexed_search", tw.over("scored", f"""
+SELECT term, row_idx FROM scored, (SELECT term, concat('%', term, '%') AS pattern
+  FROM (VALUES {', '.join(f"({tw.quote(t)})" for t in _TERMS)}) t(term)) WHERE {_SEARCHED_SQL}"""))
+def indexed_search(spark, d):
+    """Several terms against one index of the catalogue."""
+    index, hits = _fresh_folder(spark, "index"), None
+    search_index.build(pc.scored(spark, d).select("row_idx", *grid.SEARCHED), index)
+    for term in _TERMS:
+        one = search_index.search(spark, index, term).select(F.lit(term).alias("term"), "row_idx")
+        hits = one if hits is None else hits.unionByName(one)
+    return hits
+
+
+@_query("deep_pages", """
+SELECT * FROM (SELECT o_orderkey, o_totalprice, o_custkey, o_orderpriority,
+  row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, count(*) OVER () AS total FROM orders)
+WHERE (rank - 1) // 100 IN (0, (total - 1) // 200, (total - 1) // 100)""")
+def deep_pages(spark, d):
+    """The first, the middle and the last page of the orders by price, from the ranges that hold them."""
+    target = _fresh_folder(spark, "pages")
+    orders = pc.table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderpriority")
+    pages.store(orders, target, "o_totalprice", True, "o_orderkey", range_rows=1 << 12)
+    total, last = pages.page_info(spark, target, 100)
+    shown = None
+    for number in sorted({1, (total - 1) // 200 + 1, last}):
+        one = pages.page(spark, target, number, 100, "o_totalprice", True, "o_orderkey")
+        shown = one if shown is None else shown.unionByName(one)
+    return shown.withColumn("total", F.lit(total).cast("long"))
+
+
 @_query("product_page", tw.over("scored", f"""
 SELECT {', '.join(_GRID)} FROM scored WHERE validation_status = 'warning'
   AND quality_score BETWEEN 60 AND 90 ORDER BY price DESC NULLS LAST, row_idx LIMIT 25 OFFSET 25"""))
