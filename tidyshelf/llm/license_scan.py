@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm import frames
+from tidyshelf.llm import frames, license_texts
 
 PHRASES = {
     "gnu general public license": "gpl",
@@ -45,6 +46,7 @@ TEMPLATES = (
                    "license", "mit license"),
     ("cc-by-4.0", "[[this <<1,2>> is]] licensed under [[a]] [[creative commons]] cc by [[version]] 4 0 "
                   "[[international]] [[license]]", "cc by"),
+    *license_texts.TEXTS,
 )
 
 COLUMNS = ("doc_id long, n_words long, n_base long, first_word long, last_word long, "
@@ -67,12 +69,21 @@ class Automaton:
     free: tuple[tuple[int, int], ...]
     last: int
 
+    @cached_property
+    def after(self) -> tuple[dict[int, list[tuple[bytes | None, int]]], dict[int, list[int]]]:
+        """Steps and free steps by the state they leave."""
+        steps, free = {}, {}
+        for a, word, b in self.steps:
+            steps.setdefault(a, []).append((word, b))
+        for a, b in self.free:
+            free.setdefault(a, []).append(b)
+        return steps, free
+
     def close(self, states: set[int]) -> set[int]:
-        open_states = list(states)
+        free, open_states = self.after[1], list(states)
         while open_states:
-            state = open_states.pop()
-            for a, b in self.free:
-                if a == state and b not in states:
+            for b in free.get(open_states.pop(), ()):
+                if b not in states:
                     states.add(b)
                     open_states.append(b)
         return states
@@ -86,8 +97,8 @@ class Automaton:
                 end = at
             if at == len(words):
                 break
-            states = self.close({b for a, word, b in self.steps
-                                 if a in states and word in (None, words[at])})
+            states = self.close({b for a in states for word, b in self.after[0].get(a, ())
+                                 if word in (None, words[at])})
             at += 1
         return end
 
