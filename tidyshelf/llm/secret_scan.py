@@ -28,13 +28,15 @@ from tidyshelf.llm import frames, intervals
 @dataclass(frozen=True)
 class Rule:
     """Leftmost non-overlapping matches of a pattern; a match counts if the group has ``least``
-    characters. ``needle`` is a text that every match holds, if there is one."""
+    characters. ``needle`` is a text that every match holds, if there is one; ``tight`` a pattern with the
+    counting matches alone, where short ones can be passed over without moving the others."""
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
     needle: str = ""
+    tight: str = ""
 
     @property
     def version(self) -> str:
@@ -45,7 +47,7 @@ BASE_RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
                    r"""([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", "AKIA[A-Z0-9]+", 20, 0, "AKIA"),
-    Rule("hex", "[0-9a-f]+", 24),
+    Rule("hex", "[0-9a-f]+", 24, tight="[0-9a-f]{24,}"),
 )
 MORE_RULES = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, "PRIVATE KEY-----"),
@@ -64,12 +66,12 @@ def blob_of(text: Column) -> Column:
 def _matches(rule: Rule, rank: int, text: Column, todo: Column) -> Column:
     """All matches of a rule in order: text between it and the one before, its length, whether it
     counts. Texts that hold no candidate are passed over by one search."""
-    likely = rule.pattern if rule.kind != "hex" else f"[0-9a-f]{{{rule.least}}}"
-    test = text.contains(rule.needle) if rule.needle else text.rlike(likely)
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    pattern = rule.tight or rule.pattern
+    test = text.contains(rule.needle) if rule.needle else text.rlike(pattern)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
     zipped = F.arrays_zip(whole.alias("whole"), group.alias("part"),
-                          F.split(text, rule.pattern, -1).alias("gap"))
+                          F.split(text, pattern, -1).alias("gap"))
     found = F.transform(
         F.filter(zipped, lambda x: x["whole"].isNotNull()),
         lambda x, i: F.struct(
