@@ -29,9 +29,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: Session setting with the folder of a ledger that outlives the run; without it each run has its own.
+LEDGER = "tidyshelf.secrets.ledger"
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are masked."""
-    return secret_scan.redact(docs, new_ledger(spark))
+    """Found secrets are masked. With a kept ledger only blobs and rules that no earlier run has read are scanned."""
+    return secret_scan.redact(docs, spark.conf.get(LEDGER, None) or new_ledger(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
