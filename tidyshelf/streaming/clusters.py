@@ -61,7 +61,7 @@ def _reached(placed: DataFrame, centres: DataFrame, floor: float) -> DataFrame:
     old = centres.join(spans, "block").withColumn("chunk", part("chunks")).withColumn("shard", each("shards"))
     new = placed.join(spans, "block").withColumn("shard", part("shards")).withColumn("chunk", each("chunks"))
     on = ["block", "shard", "chunk"]
-    pairs = duplicates.side(old, "a", *on).join(duplicates.side(new, "b", *on), on)
+    pairs = duplicates._side(old, "a", *on).join(duplicates._side(new, "b", *on), on)
     return duplicates.reaching(pairs, floor).groupBy(F.col("b_node").alias("node")).agg(
         F.min("a_node").alias("centre"))
 
