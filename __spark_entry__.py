@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidyshelf import fixed_values as fv
 from tidyshelf.functions import text, units
 from tidyshelf.operators import (conflicts, detail, duplicates, enrich, gaps, grid, mapping,
-                                 pages, profile, reports, score, search_index, validate)
+                                 pages, profile, report_states, reports, score, search_index, validate)
 from tidyshelf.operators.normalize import TEXT_FIELDS, product_attributes
 from tidyshelf.plans import part_catalog as pc
 from tidyshelf.plans import pipeline
@@ -1183,6 +1183,63 @@ def supplier_conflicts(spark, d):
     return reports.supplier_conflicts(pc.products(spark, d), pc.conflicts(spark, d))
 
 
+# -- reports from states that add up ------------------------------------------------------------
+
+_UNITS = ", ".join(f"sum(cast(round({s} * {k}) AS bigint))::bigint AS {s}"
+                   for s, k in report_states.SUMS.items())
+_STATE_COUNTS = {
+    "excellent": "quality_score >= 85", "good": "quality_score >= 70 AND quality_score < 85",
+    "fair": "quality_score >= 50 AND quality_score < 70", "poor": "quality_score < 50",
+    "conf_90_100": "ai_confidence >= 0.9", "conf_80_89": "ai_confidence >= 0.8 AND ai_confidence < 0.9",
+    "conf_70_79": "ai_confidence >= 0.7 AND ai_confidence < 0.8", "conf_below_70": "ai_confidence < 0.7",
+    "enriched": "ai_enriched", "valid": "validation_status = 'valid'", "ready": "quality_score >= 70",
+    **{f"cover_{i}": c for i, (_, c) in enumerate(_COVER)}, **{f"gap_{f}": c for f, c in _GAPS.items()}}
+_STATE_SUMS = (f"count(*) AS n, {_UNITS}, sum(cast(round(ai_confidence * 1000000) AS bigint))::bigint AS confidence, "
+               + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _STATE_COUNTS.items()))
+_NO_SUMS = ", ".join(f"0 AS {m}" for m in report_states.MEASURES if m != "n")
+
+
+@_query("report_states", tw.over("all", " UNION ALL ".join(
+    f"SELECT source AS job_id, '{dim}' AS dim, {value} AS a, '' AS b, '' AS c, '' AS d, {_STATE_SUMS} "
+    "FROM scored GROUP BY ALL" for dim, value in [
+        ("all", "''"), ("category", "category"), ("brand", "brand"), ("supplier", "supplier"),
+        ("source", "source")]) + f"""
+UNION ALL SELECT source, 'issue', severity, issue_type, field, category, {_STATE_SUMS}
+FROM issues JOIN scored USING (row_idx) GROUP BY ALL
+UNION ALL SELECT source, 'conflict', c.severity, c.status, c.field, supplier, count(*), {_NO_SUMS}
+FROM (SELECT *, 'pending' AS status FROM conflicts) c JOIN norm USING (row_idx) GROUP BY ALL
+UNION ALL SELECT source, 'cluster', CASE WHEN row_idx = centre THEN 'group' ELSE 'redundant' END, '', '',
+  supplier, count(*), {_NO_SUMS} FROM clusters JOIN norm USING (row_idx) GROUP BY ALL"""))
+def merged_states(spark, d):
+    return report_states.merge(pc.states(spark, d))
+
+
+# Each gives the rows of the report of its name, so it has that report's twin.
+_STATE_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "mean_scores": report_states.averages, "ai_confidence": report_states.ai_confidence,
+    "kpis": report_states.kpis, "quality_histogram": report_states.histogram,
+    "confidence_histogram": lambda s: report_states.histogram(s, reports.CONFIDENCE_BANDS),
+    "category_distribution": lambda s: report_states.top_groups(s, "category", 10, "Uncategorized", False),
+    "brand_breakdown": lambda s: report_states.top_groups(s, "brand", 10, "Unknown"),
+    "supplier_breakdown": lambda s: report_states.top_groups(s, "supplier", 8, "Direct"),
+    "issues_by_field": report_states.issues_by_field, "issues_by_type": report_states.issues_by_type,
+    "issues_by_severity": report_states.issues_by_severity,
+    "biggest_problems": report_states.biggest_problems, "funnel": report_states.funnel,
+    "category_scores": report_states.category_scores, "source_scores": report_states.source_scores,
+    "field_coverage": report_states.field_coverage, "data_gaps": report_states.data_gaps,
+    "least_complete_categories": report_states.least_complete_categories,
+    "supplier_conflicts": report_states.supplier_conflicts,
+}
+
+
+def _from_states(report):
+    return lambda spark, d: report(pc.states(spark, d))
+
+
+for _name, _report in _STATE_REPORTS.items():
+    _query(f"{_name}_from_states", _SQL[_name])(_from_states(_report))
+
+
 # The same scorecard over the large fact table: every line an offer of a part.
 @_query("offer_scorecard", """
 SELECT l_shipyear AS source, count(*) AS offers, count(*) FILTER (l_discount = 0) AS full_price,

@@ -10,9 +10,10 @@ from tidyshelf.functions import text, units
 
 FEEDS = ["unilog_brand", "e1_brand", "dib_brand"]
 TEXT_GAPS = ["manufacturer", "power", "voltage", "ip_rating", "dimensions", "weight"]
+FIELDS = FEEDS + TEXT_GAPS + ["price"]
 
 
-def _gap(field: str, raw_columns: list[str]) -> Column:
+def is_gap(field: str, raw_columns: list[str]) -> Column:
     """True where the field carries no data."""
     if field in FEEDS:
         cells = [F.coalesce(F.try_element_at("raw_data", F.lit(c)), F.lit(""))
@@ -31,12 +32,15 @@ def data_gaps(products: DataFrame, raw_columns: list[str]) -> DataFrame:
 
     All counters come from one aggregate; the single row is then laid out as rows.
     """
-    fields = FEEDS + TEXT_GAPS + ["price"]
-    counted = products.agg(
+    return gap_rows(products.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(_gap(f, raw_columns)).alias(f"gap_{f}") for f in fields])
+        *[F.count_if(is_gap(f, raw_columns)).alias(f"gap_{f}") for f in FIELDS]))
+
+
+def gap_rows(counted: DataFrame) -> DataFrame:
+    """The report of one row of counters: ``total`` and ``gap_<field>``."""
     every = F.lit(0)
-    for f in fields:
+    for f in FIELDS:
         every = every + F.col(f"gap_{f}")
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(name).alias("field_name"),

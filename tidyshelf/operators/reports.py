@@ -17,6 +17,25 @@ CONFIDENCE_BANDS = [("conf_90_100", 0.9), ("conf_80_89", 0.8), ("conf_70_79", 0.
                     ("conf_below_70", None)]
 
 
+def _filled(*columns: str):
+    def test() -> Column:
+        out = F.coalesce(F.col(columns[0]), F.lit("")) != ""
+        for c in columns[1:]:
+            out = out & (F.coalesce(F.col(c), F.lit("")) != "")
+        return out
+    return test
+
+
+# Line of the coverage report -> when a product counts for it.
+COVERED = [
+    ("Technical Document / PDF", _filled("technical_document")),
+    ("Direct Product URL", _filled("product_url")),
+    ("Supplier ID / Master", _filled("supplier")),
+    ("Manufacturer / Brand Lineage", _filled("brand")),
+    ("Power / Voltage Specs", _filled("power", "voltage")),
+]
+
+
 def averages(scored: DataFrame) -> DataFrame:
     return scored.agg(*score.mean_scores())
 
@@ -98,11 +117,15 @@ def funnel(scored: DataFrame, clusters: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("row_idx") != F.col("centre"), 1).otherwise(0)), F.lit(0))
         .alias("redundant"),
         F.count_if(F.col("row_idx") == F.col("centre")).alias("groups"))
-    counted = beside(scored.agg(
+    return funnel_rows(beside(scored.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("ai_enriched")).alias("enriched"),
         F.count_if(F.col("validation_status") == "valid").alias("valid"),
-        F.count_if(F.col("quality_score") >= 70).alias("ready")), dup)
+        F.count_if(F.col("quality_score") >= 70).alias("ready")), dup))
+
+
+def funnel_rows(counted: DataFrame) -> DataFrame:
+    """The stages of one row of counters."""
     stages = [("Uploaded", "total"), ("Parsed & Schema", "total"), ("Normalized", "total"),
               ("Deduplicated", "total - redundant"), ("Deduplicated (by groups)", "total - groups"),
               ("AI Enriched", "enriched"), ("Validated", "valid"), ("Commerce Ready", "ready")]
@@ -131,7 +154,11 @@ def source_scores(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("product_count"), F.avg("quality_score").alias("q"),
         F.avg("completeness_score").alias("c"), F.avg("validity_score").alias("v"))
     # A scalar subquery, so the share needs no window over all sources.
-    total = scored.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return source_rows(per_source, scored.agg(F.count(F.lit(1)).alias("total")).scalar())
+
+
+def source_rows(per_source: DataFrame, total: Column) -> DataFrame:
+    """The report of sources with their count and means ``q``, ``c``, ``v``."""
     return per_source.select(
         "name", "product_count", text.percent(F.col("product_count") / total)
         .alias("share_percentage"),
@@ -143,19 +170,16 @@ def source_scores(scored: DataFrame) -> DataFrame:
 
 def field_coverage(products: DataFrame) -> DataFrame:
     """Populated count and share for documents, links, suppliers, brands and specs."""
-    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    fields = [
-        ("Technical Document / PDF", filled("technical_document")),
-        ("Direct Product URL", filled("product_url")),
-        ("Supplier ID / Master", filled("supplier")),
-        ("Manufacturer / Brand Lineage", filled("brand")),
-        ("Power / Voltage Specs", filled("power") & filled("voltage")),
-    ]
-    counted = products.agg(F.count(F.lit(1)).alias("total"),
-                           *[F.count_if(c).alias(f"n{i}") for i, (_, c) in enumerate(fields)])
+    return coverage_rows(products.agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(test()).alias(f"n{i}") for i, (_, test) in enumerate(COVERED)]))
+
+
+def coverage_rows(counted: DataFrame) -> DataFrame:
+    """The report of one row of counters: ``total`` and ``n<line>``."""
     rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(name).alias("field"),
                               F.col(f"n{i}").alias("populated"))
-                     for i, (name, _) in enumerate(fields)])
+                     for i, (name, _) in enumerate(COVERED)])
     return counted.select("total", F.inline(rows)).select(
         "position", "field", "populated",
         text.percent(F.col("populated") / F.greatest("total", F.lit(1))).alias("coverage_pct"))

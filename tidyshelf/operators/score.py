@@ -73,18 +73,24 @@ def mean_scores() -> list[Column]:
     return out
 
 
-def band_counts(column: str, bands=None) -> list[Column]:
-    """Histogram as one ``count_if`` per band of falling lower bounds."""
-    out, upper = [], None
+def band_tests(value: Column, bands=None) -> dict[str, Column]:
+    """Band -> whether the value lies in it, for bands of falling lower bounds."""
+    out, upper = {}, None
     for name, lower in bands or BANDS:
-        inside = F.lit(True) if lower is None else F.col(column) >= lower
+        inside = F.lit(True) if lower is None else value >= lower
         if upper is not None:
-            inside = inside & (F.col(column) < upper)
-        out.append(F.count_if(inside & F.col(column).isNotNull()).alias(name))
+            inside = inside & (value < upper)
+        out[name] = inside & value.isNotNull()
         upper = lower
     return out
 
 
+def band_counts(column: str, bands=None) -> list[Column]:
+    """Histogram as one ``count_if`` per band."""
+    return [F.count_if(test).alias(name)
+            for name, test in band_tests(F.col(column), bands).items()]
+
+
 def catalog_quality(scored: DataFrame) -> DataFrame:
     """Averages and quality histogram of the whole catalogue in one aggregate."""
     return scored.agg(*mean_scores(), *band_counts("quality_score"))

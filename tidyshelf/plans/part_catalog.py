@@ -7,14 +7,15 @@ query can start from the same catalogue.
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyshelf.operators import conflicts as conflict_ops
-from tidyshelf.operators import duplicates, enrich, score, validate
+from tidyshelf.operators import duplicates, enrich, report_states, score, validate
 from tidyshelf.operators.normalize import normalize
-from tidyshelf.session import cut
+from tidyshelf.session import cut, use_checkpoint_dir
 
 
 def _case(modulus: int, *values: str, otherwise: str = "''") -> str:
@@ -130,17 +131,22 @@ def fresh(spark: SparkSession, sf_dir: str, fill_defaults: bool = True) -> DataF
 _stored: dict[tuple, DataFrame] = {}
 
 
-def stored(build):
+def remembered(build):
+    """One frame per session and source folder."""
     @functools.wraps(build)
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (build.__name__, spark.sparkContext.applicationId, sf_dir)
         if key not in _stored:
-            _stored[key] = cut(build(spark, sf_dir))
+            _stored[key] = build(spark, sf_dir)
         return _stored[key]
 
     return get
 
 
+def stored(build):
+    return remembered(functools.wraps(build)(lambda spark, sf_dir: cut(build(spark, sf_dir))))
+
+
 @stored
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh(spark, sf_dir)
@@ -201,6 +207,22 @@ def full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.mark_enriched(scored(spark, sf_dir), enrichment(spark, sf_dir))
 
 
+BATCHES = 3
+
+
+@remembered
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report states of the whole catalogue, which comes in batches, each under its source as job."""
+    folder = f"{use_checkpoint_dir(spark)}/states-{uuid.uuid4().hex}"
+    batch = F.pmod(F.xxhash64("row_idx"), F.lit(BATCHES))
+    for i in range(BATCHES):
+        part = lambda df: df.where(batch == i)
+        report_states.add_batch(report_states.state(
+            part(full(spark, sf_dir)), list(COLUMNS), F.col("source"), part(conflicts(spark, sf_dir)),
+            part(name_clusters(spark, sf_dir))), folder, i)
+    return report_states.read(spark, folder)
+
+
 def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User decisions on conflicts, derived from the conflicts themselves: two per row
     in order of time, the later one counts."""
