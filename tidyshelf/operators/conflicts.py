@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf import fixed_values as fv
 from tidyshelf.functions import text, units
+from tidyshelf.operators import heavy
 
 SPEC_FIELDS = ["power", "voltage", "price"]
 COLUMNS = ["row_idx", "other_row_idx", "product_id", "product_name", "model_number", "field",
@@ -97,8 +98,8 @@ def spec_conflicts(products: DataFrame, clusters: DataFrame, pairs: str = "first
             .alias("b"))
     elif pairs == "all":
         centres = member.where(is_centre).select("centre", F.col("p").alias("a"))
-        sides = centres.join(member.where(~is_centre).select("centre", F.col("p").alias("b")),
-                             "centre")
+        others = member.where(~is_centre).select("centre", "row_idx", F.col("p").alias("b"))
+        sides = heavy.join(others, centres, ["centre"], ["row_idx"], counted=clusters)
     else:
         raise ValueError(f"pairs must be 'first' or 'all', not {pairs!r}")
     long = sides.where("a is not null and b is not null").select(
@@ -233,9 +234,9 @@ def counts_per_product(products: DataFrame, conflicts: DataFrame) -> DataFrame:
     by_model = conflicts.groupBy("model_number").agg(F.count(F.lit(1)).alias("n_model"))
     by_both = conflicts.groupBy("row_idx", "model_number").agg(F.count(F.lit(1)).alias("n_both"))
     n = lambda c: F.coalesce(c, F.lit(0))
+    by_rows = products.select("row_idx", "product_id", "model_number").join(
+        by_row, "row_idx", "left").join(by_both, ["row_idx", "model_number"], "left")
     return (
-        products.select("row_idx", "product_id", "model_number")
-        .join(by_row, "row_idx", "left").join(by_model, "model_number", "left")
-        .join(by_both, ["row_idx", "model_number"], "left")
+        heavy.join(by_rows, by_model, ["model_number"], ["row_idx"], "left", counted=products)
         .select("row_idx", "product_id", "model_number",
                 (n("n_row") + n("n_model") - n("n_both")).alias("conflict_count")))

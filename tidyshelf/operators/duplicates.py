@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 
 from tidyshelf.functions import similarity as sim
 from tidyshelf.functions import text, units
+from tidyshelf.operators import heavy
 from tidyshelf.session import cut, number_rows
 
 THRESHOLD = 0.80
@@ -147,7 +148,7 @@ def place(nodes: DataFrame) -> DataFrame:
 
 def _open_nodes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block membership of nodes that share a block, node of each key set)."""
-    nodes = keyed.groupBy(*KEYS).agg(F.min("row_idx").alias("node"))
+    nodes = keyed.groupBy(*KEYS).agg(F.min("row_idx").alias("node"), F.count(F.lit(1)).alias("copies"))
     placed = place(nodes)
     sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = placed.join(sizes, "block").select(
@@ -265,17 +266,18 @@ def cluster_by_model(products: DataFrame) -> DataFrame:
     """(row_idx, centre) of rows that share a model key with others: what the model rule alone would join."""
     keyed = with_keys(products).where("mk <> ''").select("row_idx", "mk")
     heads = keyed.groupBy("mk").agg(F.min("row_idx").alias("centre"), F.count(F.lit(1)).alias("_n"))
-    return keyed.join(heads.where("_n > 1"), "mk").select("row_idx", "centre")
+    return heavy.join(keyed, heads.where("_n > 1"), ["mk"], ["row_idx"]).select("row_idx", "centre")
 
 
 def _spread_to_rows(keyed: DataFrame, nodes: DataFrame, taken: DataFrame) -> DataFrame:
-    """From nodes back to rows; copies of a centre belong to it."""
+    """From nodes back to rows; copies of a centre belong to it. Sizes come from the copies of the nodes."""
     comparable = (F.col("mk") != "") | (F.col("nm") != "")
     home = nodes.where(comparable).join(taken, "node", "left").select(
-        *KEYS[:-1], F.coalesce("centre", "node").alias("centre"))
-    rows = keyed.where(comparable).join(home, KEYS[:-1]).select("row_idx", "centre")
-    sizes = rows.groupBy("centre").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return rows.join(sizes.select("centre"), "centre", "left_semi").select("row_idx", "centre")
+        *KEYS[:-1], "copies", F.coalesce("centre", "node").alias("centre"))
+    sizes = home.groupBy("centre").agg(F.sum("copies").alias("_n")).where("_n > 1")
+    kept = heavy.join(home.drop("copies"), sizes.select("centre"), ["centre"], KEYS[:-1], "left_semi")
+    return heavy.join(keyed.where(comparable).select("row_idx", *KEYS[:-1]), kept, KEYS[:-1],
+                      ["row_idx"]).select("row_idx", "centre")
 
 
 # -- groups and members --------------------------------------------------------------
@@ -289,7 +291,8 @@ def duplicate_items(products: DataFrame, clusters: DataFrame) -> DataFrame:
     detail = products.select("row_idx", *MEMBER_FIELDS)
     keyed = clusters.join(with_keys(products), "row_idx").withColumnRenamed("row_idx", "node")
     heads = keyed.where("node = centre")
-    pairs = _side(heads, "a", "centre").join(_side(keyed, "b", "centre"), "centre")
+    pairs = heavy.join(_side(keyed, "b", "centre"), _side(heads, "a", "centre"), ["centre"], ["b_node"],
+                       counted=clusters)
     scored = score_pairs(pairs).select(
         "centre", F.col("b_node").alias("row_idx"),
         F.when(F.col("a_node") == F.col("b_node"), F.lit(1.0))

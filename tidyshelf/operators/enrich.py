@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidyshelf import fixed_values as fv
 from tidyshelf.functions import text
+from tidyshelf.operators import heavy
 from tidyshelf.session import beside
 
 # Everything the enrichment depends on, so equal keys mean equal results.
@@ -73,9 +74,9 @@ def enrich_once_per_key(products: DataFrame, enricher: Callable[[DataFrame], Dat
     first = keyed.groupBy("_key").agg(F.min("row_idx").alias("_first"))
     lead = keyed.join(first.select(F.col("_first").alias("row_idx")), "row_idx", "left_semi")
     done = enricher(lead.drop("_key")).withColumnRenamed("row_idx", "_first").drop("product_id")
-    return (
-        keyed.select("row_idx", "product_id", "_key").join(first, "_key")
-        .join(done, "_first").drop("_key", "_first"))
+    # One result a key first, then the rows: only one join meets them, and it splits heavy keys.
+    return heavy.join(keyed.select("row_idx", "product_id", "_key"), first.join(done, "_first").drop("_first"),
+                      ["_key"], ["row_idx"]).drop("_key")
 
 
 def reuse_stats(products: DataFrame, fields: list[str] = INPUTS) -> DataFrame:

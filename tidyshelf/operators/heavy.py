@@ -1,7 +1,7 @@
 """Joins to tables of few rows a key, where single keys may hold a large share of the rows.
 
-A frequency sketch of the many-rowed side, mergeable and of fixed size, names the keys that hold more
-than a task's share, with their counts. It is a scalar subquery: one narrow pass over the key columns,
+A frequency sketch of the many-rowed side, mergeable and of fixed size, names the keys that hold a
+good part of a task's share, with their counts. It is a scalar subquery: one narrow pass over the key columns,
 whose result, a map of at most ``KEYS`` entries, both sides look salts up in. Rows of a heavy key get one
 of its salts, its rows on the other side are repeated once a salt, all other rows keep salt 0. So the join
 stays one shuffle join without a broadcast, and no row is dropped or sampled: an estimate that is off
@@ -14,19 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = 1000     # keys split at most; one below a thousandth of the rows is left whole
+PART = 4        # a key is heavy from this part of a task's share on: unsplit keys may share a task
 PIECES = 32     # salts for a task's share of rows, so that their places even out
 _SAFE = ("inner", "left", "left_semi", "left_anti")
 
 
 def salts(rows: DataFrame, on: list[str], tasks: int | None = None) -> Column:
-    """Subquery: key hash -> number of salts, of the keys with more rows than one of ``tasks`` shares."""
+    """Subquery: key hash -> number of salts, of the keys heavy for so many ``tasks``."""
     if tasks is None:
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(2, min(tasks, KEYS))
-    top = f"approx_top_k(_h, {tasks}, {8 * tasks})"
+    tasks = max(2, min(tasks, KEYS // PART))
+    most = tasks * PART
+    top = f"approx_top_k(_h, {most}, {8 * most})"
     return rows.select(F.xxhash64(*on).alias("_h")).agg(F.expr(f"""
         map_from_entries(transform(
-            filter({top}, t -> t.count * {tasks} > count(*)),
+            filter({top}, t -> t.count * {most} > count(*)),
             t -> struct(t.item, cast(ceil(t.count * {tasks * PIECES}D / count(*)) AS int))))""")
         .alias("salts")).scalar()
 
