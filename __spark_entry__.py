@@ -7,6 +7,7 @@ the same question as SQL wherever SQL can ask it.
 from __future__ import annotations
 
 import importlib
+import re
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from tidyshelf.functions import text, units
 from tidyshelf.operators import (conflicts, detail, duplicates, enrich, gaps, grid, mapping,
                                  pages, profile, report_states, reports, score, search_index, validate)
 from tidyshelf.operators.normalize import TEXT_FIELDS, product_attributes
+from tidyshelf.plans import changes
 from tidyshelf.plans import part_catalog as pc
 from tidyshelf.plans import pipeline
 from tidyshelf.plans import twins as tw
@@ -1299,6 +1301,121 @@ def enrichment_fallback(spark, d):
         "ai_intelligence.description")
 
 
+# Of three rows one has a result, one a stored payload, one neither.
+_PAYLOAD = """
+payload AS (SELECT *, CASE WHEN row_idx % 3 = 1 THEN upper(category) END AS p_category,
+  CASE WHEN row_idx % 3 = 1 AND row_idx % 2 = 0 THEN brand || ' Group' END AS p_brand,
+  CASE WHEN row_idx % 3 = 1 THEN (row_idx % 100)::double END AS p_confidence FROM norm)"""
+
+
+def _with_payload(spark, d):
+    given = F.create_map(F.lit("category"), F.upper("category"), F.lit("confidence_score"),
+                         (F.col("row_idx") % 100).cast("string"))
+    named = F.map_concat(given, F.create_map(F.lit("brand"), F.concat("brand", F.lit(" Group"))))
+    return pc.products(spark, d).withColumn("payload", F.when(F.col("row_idx") % 3 == 1, F.when(
+        F.col("row_idx") % 2 == 0, named).otherwise(given)))
+
+
+@_query("enrichment_payload", tw.over("enrichment", """
+SELECT row_idx, CASE row_idx % 3 WHEN 0 THEN e.category ELSE
+    coalesce(nullif(p_category, ''), nullif(n.category, ''), 'Industrial Equipment') END AS category,
+  CASE row_idx % 3 WHEN 0 THEN e.brand ELSE
+    coalesce(nullif(p_brand, ''), nullif(n.brand, ''), 'Standard') END AS brand,
+  CASE row_idx % 3 WHEN 0 THEN 88.0 WHEN 1 THEN CASE WHEN p_confidence <= 1 THEN 100 * p_confidence
+    ELSE p_confidence END END::double AS confidence
+FROM payload n JOIN enrichment e USING (row_idx)""", _PAYLOAD))
+def enrichment_payload(spark, d):
+    given = pc.enrichment(spark, d).where("row_idx % 3 = 0")
+    return detail.enrichment_view(_with_payload(spark, d), given, "payload").select(
+        "row_idx", "ai_intelligence.category", "ai_intelligence.brand", "ai_intelligence.confidence")
+
+
+@_query("best_values_payload", tw.over("enrichment", """
+SELECT row_idx, CASE row_idx % 3 WHEN 0 THEN e.category ELSE coalesce(nullif(p_category, ''), n.category) END
+    AS category,
+  CASE row_idx % 3 WHEN 0 THEN e.brand ELSE coalesce(nullif(p_brand, ''), n.brand) END AS brand,
+  CASE row_idx % 3 WHEN 0 THEN 0.88 ELSE coalesce(p_confidence, 0) END::double AS ai_confidence
+FROM payload n JOIN enrichment e USING (row_idx)""", _PAYLOAD))
+def best_values_payload(spark, d):
+    given = pc.enrichment(spark, d).where("row_idx % 3 = 0")
+    return enrich.best_values(_with_payload(spark, d), given, "payload").select(
+        "row_idx", "category", "brand", "ai_confidence")
+
+
+# -- changes to a stored job ------------------------------------------------------------------
+
+def _changed(sql: str) -> str:
+    """A stage of the twins over the products as the decisions leave them."""
+    return re.sub(r"\bnorm\b", "changed", sql)
+
+
+_OPEN = """n.row_idx IN (SELECT row_idx FROM decided WHERE action = 'keep_for_review'
+  UNION SELECT other_row_idx FROM decided WHERE action = 'keep_for_review')"""
+_DECIDED = [_ACTIONS, f"""
+chosen AS (SELECT row_idx, {_chosen('brand')} AS b, {_chosen('power')} AS p,
+  {_chosen('voltage')} AS v, {_chosen('price')} AS c FROM decided GROUP BY row_idx)""", """
+changed AS MATERIALIZED (SELECT norm.* REPLACE (coalesce(b, brand) AS brand, coalesce(p, power) AS power,
+  coalesce(v, voltage) AS voltage, coalesce(try_cast(c AS double), price) AS price)
+FROM norm LEFT JOIN chosen USING (row_idx))""", _changed(tw.ISSUES), _changed(tw.scored(_OPEN)),
+            _changed(tw.ENRICHMENT)]
+_JOB = "7"
+
+
+def _changed_job(spark, d) -> str:
+    """Folder of the job after its decisions are stored and its products in conflict are enriched anew."""
+    def build(spark, d):
+        root = _fresh_folder(spark, "changes")
+        for name, df in [
+                ("products", pc.full(spark, d).drop("issues")), ("validation_issues", pc.issues(spark, d)),
+                ("conflicts", pc.conflicts(spark, d)), ("duplicate_groups", pc.groups(spark, d)),
+                ("enrichment", pc.enrichment(spark, d))]:
+            sinks.write_table(df, root, name, _JOB)
+        sinks.write_table(sinks.job_record(spark, _JOB, "part", 0, "completed", {"message": "stored"}, 0),
+                          root, "jobs")
+        actions = pc.resolutions(spark, d)
+        changes.decide_conflicts(spark, root, _JOB, actions)
+        changes.decide_groups(spark, root, _JOB, _group_actions(spark, d))
+        changes.reenrich(spark, root, _JOB, actions)
+        return root
+    build.__name__ = "changed_job"
+    return pc.remembered(build)(spark, d)
+
+
+@_query("rescored_products", tw.over("conflicts", f"""
+SELECT row_idx, brand, power, voltage, price, validation_status, {', '.join(_SCORES)} FROM scored""", *_DECIDED))
+def rescored_products(spark, d):
+    return changes.table(spark, _changed_job(spark, d), "products", _JOB).select(
+        "row_idx", "brand", "power", "voltage", "price", "validation_status", *_SCORES)
+
+
+@_query("reenriched_products", tw.over("conflicts", """
+SELECT row_idx, brand, category, attribute_count, normalized_description FROM enrichment""", *_DECIDED))
+def reenriched_products(spark, d):
+    return changes.table(spark, _changed_job(spark, d), "enrichment", _JOB).select(
+        "row_idx", "brand", "category", F.size("attributes").alias("attribute_count"),
+        "normalized_description")
+
+
+@_query("stored_decisions", tw.over("conflicts", """
+SELECT row_idx, field, action AS status, value_a, value_b FROM decided""", *_DECIDED))
+def stored_decisions(spark, d):
+    return changes.table(spark, _changed_job(spark, d), "conflicts", _JOB).select(
+        "row_idx", "field", "status", "value_a", "value_b")
+
+
+@_query("job_record", tw.over("conflicts", """
+SELECT 'stored' AS message, count(*) AS total_products, count(*) AS ai_enriched_count,
+  (SELECT count(*) FROM conflicts) AS conflicts_count, (SELECT count(*) FROM groups) AS duplicate_groups_count,
+  (SELECT count(*) FROM issues) AS validation_issues_count,
+  round(avg(quality_score), 1) AS quality_score FROM scored""", *_DECIDED))
+def job_record(spark, d):
+    record = changes.table(spark, _changed_job(spark, d), "jobs", _JOB)
+    counts = ["total_products", "ai_enriched_count", "conflicts_count", "duplicate_groups_count",
+              "validation_issues_count"]
+    return record.select("stats.message", *[F.col(f"stats.{c}").cast("bigint").alias(c) for c in counts],
+                         F.col("stats.quality_score").cast("double").alias("quality_score"))
+
+
 _EXPORT = {"product_id": "s.product_id", "brand": "e.brand", "category": "e.category",
            "subcategory": "e.subcategory", "ai_confidence": "88.0::double",
            "description": "e.normalized_description"}

@@ -21,8 +21,12 @@ def with_defaults(products: DataFrame) -> DataFrame:
     return products.select(*[shown.get(c, F.col(c)).alias(c) for c in products.columns])
 
 
-def enrichment_view(products: DataFrame, enrichment: DataFrame) -> DataFrame:
-    """Enrichment per product: its result if there is one, else built from the fields."""
+def enrichment_view(products: DataFrame, enrichment: DataFrame, stored: str | None = None) -> DataFrame:
+    """Enrichment per product: its result if there is one, else its stored payload, else built from the fields.
+
+    ``stored`` names a map column; an empty map or NULL is no payload, and what the payload lacks comes
+    from the fields. Its confidence is a share or a percentage.
+    """
     c = F.col
     built = F.struct(
         text.first_filled(c("category"), F.lit("Industrial Equipment")).alias("category"),
@@ -43,8 +47,24 @@ def enrichment_view(products: DataFrame, enrichment: DataFrame) -> DataFrame:
         "category", "subcategory", "brand", "attributes", "missing_attributes",
         c("normalized_description").alias("description"), c("commerce_keywords").alias("keywords"),
         text.percent(c("confidence_score")).alias("confidence")).alias("given"))
-    return products.withColumn("built", built).join(given, "row_idx", "left").select(
-        "row_idx", F.coalesce("given", "built").alias("ai_intelligence"))
+    payload = F.lit(None)
+    if stored is not None:
+        of = lambda k: F.try_element_at(stored, F.lit(k))
+        sure = of("confidence_score").try_cast("double")
+        payload = F.when(F.size(stored) > 0, F.struct(
+            text.first_filled(of("category"), c("category"), F.lit("Industrial Equipment")).alias("category"),
+            text.first_filled(of("subcategory"), c("subcategory"), F.lit("General")).alias("subcategory"),
+            text.first_filled(of("brand"), c("brand"), F.lit("Standard")).alias("brand"),
+            F.coalesce(F.from_json(of("attributes"), "map<string, string>"),
+                       F.create_map().cast("map<string, string>")).alias("attributes"),
+            F.coalesce(F.from_json(of("missing_attributes"), "array<string>"),
+                       F.array().cast("array<string>")).alias("missing_attributes"),
+            text.first_filled(of("normalized_description"), c("description"), F.lit("")).alias("description"),
+            F.coalesce(F.from_json(of("commerce_keywords"), "array<string>"),
+                       F.array().cast("array<string>")).alias("keywords"),
+            F.when(sure <= 1, text.percent(sure)).otherwise(F.round(sure, 1)).alias("confidence")))
+    return products.withColumn("built", built).withColumn("kept", payload).join(given, "row_idx", "left").select(
+        "row_idx", F.coalesce("given", "kept", "built").alias("ai_intelligence"))
 
 
 def group_membership(items: DataFrame, groups: DataFrame) -> DataFrame:
