@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidyshelf.operators import conflicts as conflict_ops
 from tidyshelf.operators import duplicates, enrich, mapping, score, validate
 from tidyshelf.operators.normalize import normalize, product_attributes
-from tidyshelf.session import beside, cut
+from tidyshelf.session import beside, cut, spread
 from tidyshelf.sources import catalog, sinks
 
 
@@ -71,7 +71,7 @@ def process_file(spark: SparkSession, path: str, root: str, job_id: str,
     Without a mapping the columns are analysed first.
     """
     started = time.time()
-    raw = cut(catalog.read_catalog(spark, path))
+    raw = spread(cut(catalog.read_catalog(spark, path)), "row_idx")
     mapping_used = schema_mapping or mapping.mapping_of(mapping.analyze(raw, whole=True))
     save(run(raw, mapping_used, **options), root, job_id)
     stats = job_stats(spark, root, job_id).first().asDict()
