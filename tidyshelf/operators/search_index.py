@@ -26,11 +26,12 @@ RAREST = 4           # grams of a term that are intersected
 
 
 def grams(value: Column) -> Column:
-    """The different runs of three characters of the lower-case value."""
-    chars = F.split(F.lower(value), "")
-    three = lambda i: F.concat(*[F.get(chars, i + k) for k in range(3)])
-    return F.when(F.length(value) >= 3, F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.length(F.lower(value)) - 3), three))).otherwise(F.array().cast("array<string>"))
+    """The different runs of three characters of the lower-case value, which is split once."""
+    once = lambda c, body: F.get(F.transform(F.array(c), body), F.lit(0))
+    three = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: F.concat(
+        *[F.get(chars, i + k) for k in range(3)]))
+    return once(F.split(F.lower(value), ""), lambda chars: F.when(
+        F.size(chars) >= 3, F.array_distinct(three(chars))).otherwise(F.array().cast("array<string>")))
 
 
 def build(rows: DataFrame, index: str, columns: list[str] = grid.SEARCHED, row_idx: str = "row_idx",
