@@ -15,8 +15,9 @@ are taken to be highly similar: they form a relation, known by its least class.
 
 Relations that are not similar at all would only cost time: each answer is exact either way, so no link is
 lost or invented. Members of a relation are stored in bounded blocks, and each pair of blocks is a row of its
-own, so no task holds a relation. A pair of blocks gives back numbers of links and a spanning forest of
-them, never the pairs.
+own, so no task holds a relation. A block is compared with itself as it is packed, and keeps the root of each set
+among its own links. A pair of blocks gives back numbers of links, added up within a task, and a spanning forest
+over the roots of both, never the pairs: a group of near copies has one edge a pair of blocks.
 
 Between the two, pairs of small relations are held against sketches, of a few bits an n-gram, that bound an
 intersection from above: a set's sketch has a bit for each hash value that an odd number of its n-grams
@@ -315,8 +316,10 @@ def sieved(pairs: DataFrame, classes: DataFrame, profiled: DataFrame, least: int
 
 # -- answers ---------------------------------------------------------------------------------------
 
-def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Stored blocks of the relations in question: block, leader, cids, copies, sizes, grams of each set."""
+def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WIDTH,
+                  least: int = LEAST) -> DataFrame:
+    """Stored blocks of the relations in question: block, leader, cids, copies, sizes, grams of each set, and
+    of the links within the block their number and the root (a place in the block)."""
     asked = pairs.select(F.col("a").alias("leader")).unionByName(pairs.select(F.col("b").alias("leader"))).distinct()
     needed = cut(classes.where("members > 1").unionByName(
         classes.where("members = 1").join(asked, "leader", "left_semi").select(*classes.columns)))
@@ -342,11 +345,17 @@ def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width:
         held, size, last = [], 0, None
 
         def block():
+            copies = np.array([h[2] for h in held], np.int64)
+            sizes = np.array([len(h[3]) // 8 for h in held], np.int64)
+            links = np.zeros((len(held), len(held)), bool)
+            if len(held) > 1:
+                own = [np.frombuffer(h[3], np.uint64) for h in held]
+                links = (100 + least) * overlaps(own, own) >= least * (sizes[:, None] + sizes[None, :])
+                np.fill_diagonal(links, False)
             return pa.RecordBatch.from_pylist([{
                 "block": first + number, "leader": held[0][0], "cids": np.array([h[1] for h in held], np.int64).tobytes(),
-                "copies": np.array([h[2] for h in held], np.int64).tobytes(),
-                "sizes": np.array([len(h[3]) // 8 for h in held], np.int64).tobytes(),
-                "grams": b"".join(h[3] for h in held)}])
+                "copies": copies.tobytes(), "sizes": sizes.tobytes(), "links": (links @ copies).tobytes(),
+                "roots": roots(links).tobytes(), "grams": b"".join(h[3] for h in held)}])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("leader", "cid", "copies", "grams"))):
@@ -365,7 +374,8 @@ def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width:
     part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / BLOCK)).alias("part")
     dealt = sets.join(needed.select("cid", "leader", "copies", part), "cid").repartition("leader", "part")
     return cut(dealt.sortWithinPartitions("leader", "part", "cid").select("leader", "cid", "copies", "grams").mapInArrow(
-        pack, "block long, leader long, cids binary, copies binary, sizes binary, grams binary"))
+        pack, "block long, leader long, cids binary, copies binary, sizes binary, links binary, roots binary, "
+        "grams binary"))
 
 
 def _signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -424,50 +434,78 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def roots(links: np.ndarray) -> np.ndarray:
+    """The first row that each row is connected with, of a symmetric matrix of links."""
+    out = np.full(len(links), -1, np.int64)
+    for start in range(len(links)):
+        front = np.array([start]) if out[start] < 0 else np.zeros(0, int)
+        while len(front):
+            out[front] = start
+            front = np.flatnonzero(links[front].any(axis=0) & (out < 0))
+    return out
+
+
+def root_edges(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) between roots that connect what the links of two blocks connect."""
+    a, i = np.unique(left, return_inverse=True)
+    b, j = np.unique(right, return_inverse=True)
+    met = np.zeros((len(a), len(b)), bool)
+    row, column = np.nonzero(links)
+    met[i[row], j[column]] = True
+    return [(int(a[x]), int(b[y])) for x, y in forest(met)]
+
+
 def answers(blocks: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Stored rows (cid, links, other): numbers of links found, and edges of spanning forests."""
+    """Stored rows (cid, links, other): numbers of links found, and edges that connect what they connect."""
     where = blocks.select("leader", "block")
     x, y = where.toDF("a", "x"), where.toDF("b", "y")
     tiles = pairs.join(x, "a").join(y, "b").select("x", "y").unionByName(
-        x.join(where.toDF("a", "y"), "a").where("x <= y").select("x", "y"))
+        x.join(where.toDF("a", "y"), "a").where("x < y").select("x", "y"))
     side = lambda s: blocks.select(F.col("block").alias(s), *[
-        F.col(c).alias(f"{s}_{c}") for c in ("cids", "copies", "sizes", "grams")])
+        F.col(c).alias(f"{s}_{c}") for c in ("cids", "copies", "sizes", "roots", "grams")])
 
     def sets(sizes, grams):
         return np.split(np.frombuffer(grams, np.uint64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
 
+    def within(batches):
+        for batch in batches:
+            out = [np.zeros((3, 0), np.int64)]
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cids", "links", "roots"))):
+                cids, links, root = (np.frombuffer(v, np.int64) for v in row)
+                out.append(np.array([cids, links, cids[root]])[:, links > 0])
+            rows = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["cid", "links", "other"])
+
+    def numbers(total):
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64()),
+                                           pa.nulls(len(total), pa.int64())], ["cid", "links", "other"])
+
     def score(batches):
+        total: dict[int, int] = {}
         for batch in batches:
-            out = []
+            edges = []
             for row in batch.to_pylist():
-                n = [np.frombuffer(row[f"{s}_sizes"], np.int64) for s in "xy"]
-                cids = [np.frombuffer(row[f"{s}_cids"], np.int64) for s in "xy"]
-                copies = [np.frombuffer(row[f"{s}_copies"], np.int64) for s in "xy"]
-                same = row["x"] == row["y"]
-                if same and len(n[0]) == 1:
-                    continue
+                n, cids, copies, root = ([np.frombuffer(row[f"{s}_{c}"], np.int64) for s in "xy"]
+                                         for c in ("sizes", "cids", "copies", "roots"))
                 inter = overlaps(*(sets(row[f"{s}_sizes"], row[f"{s}_grams"]) for s in "xy"))
                 links = (100 + least) * inter >= least * (n[0][:, None] + n[1][None, :])
-                if same:
-                    np.fill_diagonal(links, False)
-                degree = links @ copies[1]
-                edges = dict.fromkeys(np.flatnonzero(degree).tolist())
-                spare = []
-                for i, j in forest(links):
-                    if i in edges and edges[i] is None:
-                        edges[i] = cids[1][j]
-                    else:
-                        spare.append((cids[1][j], 0, cids[0][i]))
-                out += [(cids[0][i], degree[i], other) for i, other in edges.items()]
-                if not same:
-                    back = copies[0] @ links
-                    out += [(cids[1][j], back[j], None) for j in np.flatnonzero(back)]
-                out += spare
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], ["cid", "links", "other"])
-
+                for own, found in ((cids[0], links @ copies[1]), (cids[1], copies[0] @ links)):
+                    some = found > 0
+                    for cid, more in zip(own[some].tolist(), found[some].tolist()):
+                        total[cid] = total.get(cid, 0) + more
+                edges += [(cids[0][i], 0, cids[1][j]) for i, j in root_edges(links, *root)]
+                if len(total) > REMEMBERED:
+                    yield numbers(total)
+                    total = {}
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*edges)], ["cid", "links", "other"])
+        if total:
+            yield numbers(total)
+
+    shape = "cid long, links long, other long"
     joined = tiles.join(side("x"), "x").join(side("y"), "y")
-    return cut(joined.mapInArrow(score, "cid long, links long, other long"))
+    return cut(joined.mapInArrow(score, shape).unionByName(
+        blocks.select("cids", "links", "roots").mapInArrow(within, shape)))
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -477,7 +515,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, least: int = LEAST) -> Dat
     classes = classes_of(profiled)
     entries = shared_entries(docs, bucket_ranks(profiled), width, least)
     pairs = sieved(related_pairs(entries, classes, least), classes, profiled, least)
-    found = answers(member_blocks(docs, classes, pairs, width), pairs, least)
+    found = answers(member_blocks(docs, classes, pairs, width, least), pairs, least)
     edges = found.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b"))
     groups = components(edges).withColumnRenamed("node", "cid")
     degrees = found.groupBy("cid").agg(F.sum("links").alias("links"))
