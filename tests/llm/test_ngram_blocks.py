@@ -47,3 +47,29 @@ def test_edges_of_near_copies_grow_with_their_number(spark, monkeypatch):
     found = nj.answers(blocks, pairs)
     assert found.where("other IS NOT NULL AND other <> cid").count() < 2 * len(rows)
     assert sorted((tuple(r) for r in nj.jaccard_join(docs).collect()), key=str) == all_pairs(rows)
+
+
+def test_packed_sets_come_back_and_near_copies_take_few_bytes():
+    rng = np.random.default_rng(5)
+    drawn = lambda n: np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+    base = drawn(400)
+    near = [base] + [np.unique(np.concatenate([rng.choice(base, 380, False), drawn(20)])) for _ in range(60)]
+    far = [drawn(n) for n in (1, 300, 7, 500)]
+    for sets in (near, far, near + far, near[:1], far[:1], [drawn(70_000), drawn(9)], [base, base[:1]]):
+        grams, counts, places = nj.pack_sets(sets)
+        back = nj.unpack_sets(len(sets[0]), grams, counts, places)
+        assert len(back) == len(sets) and all(np.array_equal(a, b) for a, b in zip(back, sets))
+    assert 8 * sum(map(len, near)) > 10 * sum(map(len, nj.pack_sets(near)))
+
+
+def test_the_larger_block_stays_and_is_repeated_for_many_partners(spark):
+    blocks = spark.createDataFrame(
+        [(0, 7, b"x" * 900, b"x" * 100)] + [(i, 100 + i, b"x" * (8 + i % 3), b"") for i in range(1, 201)],
+        "block long, leader long, grams binary, places binary")
+    pairs = spark.createDataFrame([(7, 100 + i) for i in range(1, 101)] + [(100 + i, 7) for i in range(101, 201)],
+                                  "a long, b long")
+    tiles, parts = nj.block_pairs(blocks, pairs)
+    rows = tiles.collect()
+    assert {(r.x, r.y) for r in rows} == {(i, 0) for i in range(1, 201)} and len(rows) == 200
+    assert [tuple(r) for r in parts.collect()] == [(0, 4)]
+    assert {r.part for r in rows} == set(range(4))

@@ -16,7 +16,8 @@ are taken to be highly similar: they form a relation, known by its least class.
 Relations that are not similar at all would only cost time: each answer is exact either way, so no link is
 lost or invented. Members of a relation are stored in bounded blocks, and each pair of blocks is a row of its
 own, so no task holds a relation. A block is compared with itself as it is packed, and keeps the root of each set
-among its own links. A pair of blocks gives back numbers of links, added up within a task, and a spanning forest
+among its own links. It holds its n-grams once, and of each set but the first what it changes (or, if that is
+less, what it has). A pair of blocks gives back numbers of links, added up within a task, and a spanning forest
 over the roots of both, never the pairs: a group of near copies has one edge a pair of blocks.
 
 Between the two, pairs of small relations are held against sketches, of a few bits an n-gram, that bound an
@@ -48,6 +49,8 @@ WIDTH, LEAST = 5, 80
 BUCKETS = 1 << 16
 #: Sets of a block, and bytes of it; entries of a list's block; columns of one product.
 BLOCK, BLOCK_BYTES, LIST_BLOCK, COLUMNS_AT_ONCE = 512, 4 << 20, 64, 512
+#: Blocks that a copy of a block meets.
+MET = 64
 #: Members of a relation whose pairs are sieved by sketches.
 SMALL = 16
 #: Classes a task remembers, so that the copies it meets are passed on once.
@@ -316,9 +319,42 @@ def sieved(pairs: DataFrame, classes: DataFrame, profiled: DataFrame, least: int
 
 # -- answers ---------------------------------------------------------------------------------------
 
+def pack_sets(sets: list[np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """Sets of a block as its n-grams, those of the first set in front; how many places each other set names, negative
+    if they are all its own and not those in which it differs from the first; and the places."""
+    first, others = sets[0], sets[1:]
+    grams = np.concatenate([first, np.setdiff1d(np.concatenate(others), first)]) if others else first
+    order, own = np.argsort(grams), np.arange(len(first))
+    counts, places = [], [own[:0]]
+    for one in others:
+        at = order[np.searchsorted(grams, one, sorter=order)]
+        apart = np.setxor1d(at, own, assume_unique=True)
+        near = len(apart) < len(at)
+        counts.append(len(apart) if near else -len(at))
+        places.append(apart if near else at)
+    return grams.tobytes(), np.array(counts, np.int32).tobytes(), np.concatenate(places).astype(_place(grams)).tobytes()
+
+
+def unpack_sets(first: int, grams: bytes, counts: bytes, places: bytes) -> list[np.ndarray]:
+    """The sets of ``pack_sets``, each rising; ``first`` is the size of the first one."""
+    known, named = np.frombuffer(grams, np.uint64), np.frombuffer(counts, np.int32)
+    at = np.split(np.frombuffer(places, _place(known)), np.cumsum(np.abs(named)))
+    out = [known[:first]]
+    for count, some in zip(named.tolist(), at):
+        mask = np.zeros(len(known), bool)
+        mask[:first] = count >= 0
+        mask[some] ^= True
+        out.append(np.sort(known[mask]))
+    return out
+
+
+def _place(grams: np.ndarray) -> type:
+    return np.uint16 if len(grams) <= 1 << 16 else np.uint32
+
+
 def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int = WIDTH,
                   least: int = LEAST) -> DataFrame:
-    """Stored blocks of the relations in question: block, leader, cids, copies, sizes, grams of each set, and
+    """Stored blocks of the relations in question: block, leader, cids, copies, sizes, the sets packed, and
     of the links within the block their number and the root (a place in the block)."""
     asked = pairs.select(F.col("a").alias("leader")).unionByName(pairs.select(F.col("b").alias("leader"))).distinct()
     needed = cut(classes.where("members > 1").unionByName(
@@ -348,14 +384,15 @@ def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width:
             copies = np.array([h[2] for h in held], np.int64)
             sizes = np.array([len(h[3]) // 8 for h in held], np.int64)
             links = np.zeros((len(held), len(held)), bool)
+            own = [np.frombuffer(h[3], np.uint64) for h in held]
+            grams, counts, places = pack_sets(own)
             if len(held) > 1:
-                own = [np.frombuffer(h[3], np.uint64) for h in held]
                 links = (100 + least) * overlaps(own, own) >= least * (sizes[:, None] + sizes[None, :])
                 np.fill_diagonal(links, False)
             return pa.RecordBatch.from_pylist([{
                 "block": first + number, "leader": held[0][0], "cids": np.array([h[1] for h in held], np.int64).tobytes(),
                 "copies": copies.tobytes(), "sizes": sizes.tobytes(), "links": (links @ copies).tobytes(),
-                "roots": roots(links).tobytes(), "grams": b"".join(h[3] for h in held)}])
+                "roots": roots(links).tobytes(), "grams": grams, "counts": counts, "places": places}])
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("leader", "cid", "copies", "grams"))):
@@ -375,7 +412,7 @@ def member_blocks(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width:
     dealt = sets.join(needed.select("cid", "leader", "copies", part), "cid").repartition("leader", "part")
     return cut(dealt.sortWithinPartitions("leader", "part", "cid").select("leader", "cid", "copies", "grams").mapInArrow(
         pack, "block long, leader long, cids binary, copies binary, sizes binary, links binary, roots binary, "
-        "grams binary"))
+        "grams binary, counts binary, places binary"))
 
 
 def _signed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -455,17 +492,26 @@ def root_edges(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[t
     return [(int(a[x]), int(b[y])) for x, y in forest(met)]
 
 
+def block_pairs(blocks: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored pairs (x, y, part) of blocks to compare, and (y, parts): the smaller block x is sent to the larger, which
+    is repeated once for some ``MET`` of the blocks it meets and not for each of them."""
+    where = blocks.select("leader", "block", (F.length("grams") + F.length("places")).alias("size"))
+    x, y = where.toDF("a", "x", "p"), where.toDF("b", "y", "q")
+    both = pairs.join(x, "a").join(y, "b").select("x", "p", "y", "q").unionByName(
+        x.join(where.toDF("a", "y", "q"), "a").where("x < y").select("x", "p", "y", "q"))
+    swap = F.col("p") > F.col("q")
+    met = cut(both.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"),
+                          F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")))
+    parts = cut(met.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part")
+    return met.join(parts, "y").select("x", "y", part), parts
+
+
 def answers(blocks: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
     """Stored rows (cid, links, other): numbers of links found, and edges that connect what they connect."""
-    where = blocks.select("leader", "block")
-    x, y = where.toDF("a", "x"), where.toDF("b", "y")
-    tiles = pairs.join(x, "a").join(y, "b").select("x", "y").unionByName(
-        x.join(where.toDF("a", "y"), "a").where("x < y").select("x", "y"))
+    tiles, parts = block_pairs(blocks, pairs)
     side = lambda s: blocks.select(F.col("block").alias(s), *[
-        F.col(c).alias(f"{s}_{c}") for c in ("cids", "copies", "sizes", "roots", "grams")])
-
-    def sets(sizes, grams):
-        return np.split(np.frombuffer(grams, np.uint64), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+        F.col(c).alias(f"{s}_{c}") for c in ("cids", "copies", "sizes", "roots", "grams", "counts", "places")])
 
     def within(batches):
         for batch in batches:
@@ -487,7 +533,8 @@ def answers(blocks: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFram
             for row in batch.to_pylist():
                 n, cids, copies, root = ([np.frombuffer(row[f"{s}_{c}"], np.int64) for s in "xy"]
                                          for c in ("sizes", "cids", "copies", "roots"))
-                inter = overlaps(*(sets(row[f"{s}_sizes"], row[f"{s}_grams"]) for s in "xy"))
+                inter = overlaps(*(unpack_sets(int(n[i][0]), *(row[f"{s}_{c}"] for c in ("grams", "counts", "places")))
+                                   for i, s in enumerate("xy")))
                 links = (100 + least) * inter >= least * (n[0][:, None] + n[1][None, :])
                 for own, found in ((cids[0], links @ copies[1]), (cids[1], copies[0] @ links)):
                     some = found > 0
@@ -503,7 +550,8 @@ def answers(blocks: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFram
             yield numbers(total)
 
     shape = "cid long, links long, other long"
-    joined = tiles.join(side("x"), "x").join(side("y"), "y")
+    repeated = side("y").join(parts, "y").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    joined = tiles.join(side("x"), "x").join(repeated, ["y", "part"])
     return cut(joined.mapInArrow(score, shape).unionByName(
         blocks.select("cids", "links", "roots").mapInArrow(within, shape)))
 
